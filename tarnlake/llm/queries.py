@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_rules, neardup, packing, postings, token_files, toxicity, url_rules
+from . import langid, line_rules, neardup, packing, postings, repeats, token_files, toxicity, url_rules
 from .common import fold, table
 
 #: (host, path, verdict): fixed values.
@@ -100,3 +100,10 @@ r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) c ON c.id = d.doc_id
 """
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_suffix_dedup"] = op9_suffix_dedup
