@@ -1,3 +1,59 @@
+"""The corpus pipeline: documents in, packed sequences out.
+
+Each stage takes all rows that its predecessor kept, as Parquet, and calls one operator of tarnlake.llm; all but the last
+return the columns of documents. Rows without a text pass the filtering stages: nothing in them can be rejected.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnlake.llm import neardup, packing, postings, repeats, toxicity
+from tarnlake.llm.common import fold, store, table
+from tarnlake.llm.queries import tokenizer
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+#: SQL cannot count tokens or learn toxicity: the stages are tested by brute force.
 ORACLE_SQL = None
-STAGES = []
-run = None
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not rejected; rows without one stay."""
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
+    return _without(docs, toxicity.score(docs, model).where("predicted = 1"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays. Of rows that share an id, all share its fate."""
+    return _without(docs, neardup.near_duplicates(docs).where(~F.col("kept")))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document has; n_chars follows. Rows stay, emptied ones too."""
+    return repeats.remove_repeats(docs, with_text=True, also=("lang", "source", "n_chars")).select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, postings.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_duplicates), ("repeated passages", cut_repeats), ("decontamination", drop_contaminated), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = store(docs, f"stage-{i}-{name.replace(' ', '-')}")
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_rules, neardup, packing, postings, repeats, token_files, toxicity, url_rules
+from . import cotraining, langid, line_rules, neardup, packing, postings, repeats, token_files, toxicity, url_rules
 from .common import fold, table
 
 #: (host, path, verdict): fixed values.
@@ -107,3 +107,12 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_suffix_dedup"] = op9_suffix_dedup
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.fit(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
+    return cotraining.score(docs, model).withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False))).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES["op7_quality_classifier"] = op7_quality_classifier

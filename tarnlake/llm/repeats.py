@@ -292,7 +292,7 @@ def _decide(table: pa.Table, length: int, blocks: int, most: int = 1 << 19) -> p
     return _found_table(_rows(0, doc[at], tag[at].astype(np.uint32), first[at] + lo, first[at] + hi, np.zeros(len(at), _U), blocks))
 
 
-def _strip(docs: pa.Table, found: pa.Table, length: int, with_text: bool) -> pa.Table:
+def _strip(docs: pa.Table, found: pa.Table, length: int, with_text: bool, also: tuple[str, ...]) -> pa.Table:
     ids, tags, first, last, _ = _spread(found)
     order = np.lexsort((first, tags, ids))
     ids, tags, first, last = (x[order] for x in (ids, tags, first, last))
@@ -313,11 +313,12 @@ def _strip(docs: pa.Table, found: pa.Table, length: int, with_text: bool) -> pa.
         for n, v in zip(out, (len(raw), removed, spans, hashlib.sha256(rest).hexdigest(), (rest.decode("utf-8", "ignore") if removed else t) if with_text else None), strict=True):
             out[n].append(v)
     cols = {"doc_id": docs.column("doc_id").combine_chunks(), "n_bytes": pa.array(out["n_bytes"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "n_spans": pa.array(out["n_spans"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())}
-    return pa.table(cols | ({"text": pa.array(out["text"], pa.string())} if with_text else {}))
+    cols |= {"text": pa.array(out["text"], pa.string())} if with_text else {}
+    return pa.table(cols | {f"own_{i}": docs.column(f"own_{i}").combine_chunks() for i in range(len(also))})
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, gram: int = 24, key: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text]) of every row; text is what is kept."""
+def remove_repeats(docs: DataFrame, *, length: int = 50, gram: int = 24, key: str = "doc_id", text: str = "text", with_text: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256[, text], *also) of every row; text is what is kept."""
     if not 8 <= gram < length or length - gram > 255:
         raise ValueError("a gram has at least 8 bytes, fewer than a passage, and a passage at most 255 more")
     spark = docs.sparkSession
@@ -326,10 +327,14 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, gram: int = 24, key: st
     doc_blocks = max(2 * partitions(spark), n // 2000)
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = store(_deal(own, length, gram, blocks).groupBy("block").applyInArrow(lambda t: _classes(t, doc_blocks), FOUND), "repeats")
-    dealt = own.withColumn("block", F.coalesce(F.pmod(F.col("doc_id").bitwiseXOR(F.shiftright("doc_id", 17)), F.lit(doc_blocks)), F.lit(0).cast("long")))
+    kinds = dict(docs.dtypes)
+    carried = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"own_{i}") for i, c in enumerate(also)))
+    block = F.coalesce(F.pmod(F.col("doc_id").bitwiseXOR(F.shiftright("doc_id", 17)), F.lit(doc_blocks)), F.lit(0).cast("long"))
+    dealt = own.withColumn("block", block)
     asked = found.where("kind = 1")
     contexts = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lambda d, f: _fetch(d, f, length, blocks), CONTEXTS)
     decided = store(contexts.groupBy("block").applyInArrow(lambda t: _decide(t, length, doc_blocks), FOUND), "repeats")
     every = found.where("kind = 0").unionByName(decided)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
-    return dealt.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(lambda d, f: _strip(d, f, length, with_text), schema).withColumnRenamed("doc_id", key)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text + "".join(f", own_{i} {kinds[c]}" for i, c in enumerate(also))
+    out = carried.withColumn("block", block).groupBy("block").cogroup(every.groupBy("block")).applyInArrow(lambda d, f: _strip(d, f, length, with_text, also), schema)
+    return out.withColumnsRenamed({"doc_id": key} | {f"own_{i}": c for i, c in enumerate(also)})
