@@ -1,0 +1 @@
+"""Catalogue intelligence and text processing, as Spark plans."""
