@@ -297,7 +297,7 @@ def _strip(docs: pa.Table, found: pa.Table, length: int, with_text: bool, also:
     order = np.lexsort((first, tags, ids))
     ids, tags, first, last = (x[order] for x in (ids, tags, first, last))
     cuts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])) if len(ids) else np.empty(0, np.int64)
-    at = {(int(ids[a]), int(tags[a])): (a, b) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)], strict=True)}
+    at = {(int(ids[a]), int(tags[a])): (a, b) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)][: len(cuts)], strict=True)}
     out: dict[str, list] = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "text")}
     for k, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
         raw = t.encode("utf-8", "replace") if t else b""
