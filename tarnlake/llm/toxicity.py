@@ -2,7 +2,7 @@
 
 ``fit`` counts, over labelled texts, in how many toxic and clean ones each unit occurs. A unit is a word or a word's first
 4 to 7 bytes, so that an unseen ending of a known stem still counts. Its log-odds ratio is taken under an informative
-Dirichlet prior, the pooled counts scaled to ``prior`` documents; units whose ratio is at least ``least`` and ``z`` standard errors above 0 score
+Dirichlet prior, the pooled counts scaled by ``prior``; units whose ratio is at least ``least`` and ``z`` standard errors above 0 score
 it, all other words cost ``drift``. ``segments`` finds all maximal scoring segments in linear time. A segment's score is
 calibrated by the extreme-value law of such maxima: lambda solves E[exp(lambda * score)] = 1 over clean words, and
 among n words a segment of score S is expected K * n * exp(-lambda * S) times by chance. A document's statistic sums
@@ -116,7 +116,7 @@ class Model:
 
 
 def _learn(toxic: Counter, clean: Counter, n1: int, n0: int, tokens0: int, *, prior: float, z: float, drift: float, most: int, least: float) -> Model:
-    kept = []
+    kept, prior = [], prior * (n1 + n0)
     for u, y1 in toxic.items():
         y0 = clean.get(u, 0)
         a = prior * (y1 + y0) / (n1 + n0)
@@ -153,7 +153,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     return float(beta[0]), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 10_000, prior: float = 2_000.0, z: float = 3.3, drift: float = 0.05, least: float = 2.5, most: int = 50_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 10_000, prior: float = 0.1, z: float = 3.3, drift: float = 0.05, least: float = 1.5, most: int = 50_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learns from up to about `per_class` labelled texts of either class, drawn by a hash of their key.
 
     Texts that are the same count once. `most` bounds the units of the model, which is broadcast.
