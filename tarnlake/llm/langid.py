@@ -80,6 +80,7 @@ def grow(samples: dict[str, list[bytes]], order: int = 4, least: int = 40) -> Mo
     symbols[seen] = np.arange(1, seen.sum() + 1)
     wide = int(seen.sum()) + 1
     data = {x: symbols[np.frombuffer(b"".join([y for t in samples[x] for y in (b"\n" * order, t)]) or b"\n", np.uint8)].astype(np.int64) for x in langs}
+    real = {x: np.concatenate([np.r_[np.zeros(order, bool), np.ones(len(t), bool)] for t in samples[x]] or [np.zeros(1, bool)]) for x in langs}  # leads are contexts only
     # grams[d][lang]: (codes of context and byte, counts); a code's digits are the byte, then the context's bytes from the last back
     grams: list[dict[str, tuple[np.ndarray, np.ndarray]]] = []
     for d in range(order + 1):
@@ -90,7 +91,7 @@ def grow(samples: dict[str, list[bytes]], order: int = 4, least: int = 40) -> Mo
             context = np.zeros(len(code), np.int64)
             for j in range(1, d + 1):
                 context = context * wide + s[d - j : len(s) - j]
-            grams[d][x] = np.unique(context * wide + code, return_counts=True)
+            grams[d][x] = np.unique((context * wide + code)[real[x][d:][: len(code)]], return_counts=True)
     child = [np.full(wide, -1, np.int32)]
     bits0 = np.empty((wide, len(langs)))
     even = 1.0 / max(256, wide)
