@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 import duckdb
 import pytest
 
-from tarnlake.plans import catalogue, registry
+from tarnlake.plans import catalogue, governance, registry
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -62,4 +62,4 @@ def test_manifest_is_stable(spark):
 
 
 def test_catalogue_is_registered():
-    assert catalogue and len(registry.QUERIES) > 50
+    assert catalogue and governance and len(registry.QUERIES) > 50
