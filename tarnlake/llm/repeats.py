@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, store
+from .common import store
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -321,10 +321,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, gram: int = 24, key: st
     """(key, n_bytes, n_removed, n_spans, kept_sha256[, text], *also) of every row; text is what is kept."""
     if not 8 <= gram < length or length - gram > 255:
         raise ValueError("a gram has at least 8 bytes, fewer than a passage, and a passage at most 255 more")
-    spark = docs.sparkSession
     n = docs.count()
-    blocks = max(4 * partitions(spark), n // 1000)
-    doc_blocks = max(2 * partitions(spark), n // 2000)
+    # by the corpus alone: a block of anchors sends a row to each block of documents at most
+    blocks, doc_blocks = max(16, n // 1000), max(16, n // 2000)
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = store(_deal(own, length, gram, blocks).groupBy("block").applyInArrow(lambda t: _classes(t, doc_blocks), FOUND), "repeats")
     kinds = dict(docs.dtypes)
