@@ -5,12 +5,13 @@ of the least of exponential draws x that the set's elements make for i: register
 merge, and two sets agree in a register about as often as their Jaccard similarity. Documents of the same set are one class
 (its least id stands for it). Bands - fixed picks of registers - put classes of equal values into buckets; each member is
 paired with its bucket's least id. From the registers of a pair and the exact set sizes the similarity is estimated by
-likelihood; pairs far below the threshold go, the others are compared on their full sets. After the links found so are
-joined into components, buckets that still hold several components offer the pairs between these, so a link is not lost
-for its leader's sake, while pairs inside a component are never made.
+likelihood; pairs far below the threshold go, the others are compared on their full sets. A class is compared with one
+leader first, and with others only as long as their components differ. When all leaders are done, the classes of buckets that still
+hold several components are compared across these by an exact prefix filter, so a link is not lost for its leader's sake,
+while pairs inside a component are never made.
 
 With 64 bands of 7 of 256 registers, a pair at similarity 0.8 shares no band with probability 3e-7; the estimate has a
-standard error of 0.025 there and pairs are kept down to 0.2 below the threshold.
+standard error of 0.025 there and pairs are kept down to 0.1 below the threshold.
 
 Words are what white space parts, A-Z lower-cased. Fewer words than a shingle make one shingle of all; null and empty texts
 have none and are linked with nothing. Rows of one id share their fate. Rows without an id are kept and not linked. Shingles
@@ -34,6 +35,7 @@ from .components import components
 _MEMO: dict[bytes, int] = {}
 _BASE, _RATE, _TOP = 1.001, 20.0, (1 << 16) - 2
 _WIDTH, _BANDS, _ROWS = 256, 64, 7
+_SLOTS, _PACK = 1 << 20, 128
 
 
 def _numbers(n: int, seed: int) -> np.ndarray:
@@ -172,7 +174,93 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, margin: float = 0.2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _across(rows: DataFrame, size: int, percent: int, margin: float) -> DataFrame:
+    """(a, b): links between different components, of rows (id, component, text).
+
+    Shingles are put in one order, the rare ones first; sets as near as `percent` share one within the first
+    n - ceil(percent * n / 100) + 1 of either. Any order is exact, so rarity may be told by counts in a table of fixed size. At a
+    shingle, members are dealt into packs of about _PACK, and packs of queries (members of all but the largest component)
+    meet packs of targets: pairs are estimated and verified where they meet, and links alone leave the task.
+    """
+    spark = rows.sparkSession
+
+    def counted(batches):
+        total = np.zeros(_SLOTS, np.int64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                np.add.at(total, (shingles(t, size) % np.uint64(_SLOTS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    got = rows.select("text").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(_SLOTS, np.int64)
+    table[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    sent = spark.sparkContext.broadcast(table)
+
+    def hashed(batches):
+        for batch in batches:
+            sets = [shingles(t, size) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([registers(x).tobytes() for x in sets], pa.binary())], names=["id", "component", "n", "els", "regs"])
+
+    sets = store(rows.select("id", "component", "text").mapInArrow(hashed, "id long, component long, n long, els binary, regs binary"), "open-sets")
+
+    def first(batches):
+        for batch in batches:
+            ids, comps, sizes, tokens = [], [], [], []
+            for k, c, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = np.frombuffer(raw, np.uint64)
+                n = len(own) - -(-percent * len(own) // 100) + 1
+                order = np.lexsort((own, sent.value[(own % np.uint64(_SLOTS)).astype(np.int64)]))[:n]
+                tokens.append(own[order].astype(np.int64))
+                ids += [k] * len(order)
+                comps += [c] * len(order)
+                sizes += [len(own)] * len(order)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens or [np.empty(0, np.int64)])), pa.array(ids, pa.int64()), pa.array(comps, pa.int64()), pa.array(sizes, pa.int64())], names=["token", "id", "component", "n"])
+
+    marks = store(sets.select("id", "component", "els").mapInArrow(first, "token long, id long, component long, n long"), "prefixes")
+    by = marks.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
+    # shingles at which several components meet; members of small components are queries there, all members are targets
+    shared = by.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count(F.lit(1)).alias("components"), F.sum("k").alias("members")).where("components > 1")
+    met = marks.join(shared, "token").join(sets.select("id", "els", "regs"), "id").withColumn("slot", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("members") / _PACK))).cast("int"))
+    member = F.struct("id", "component", "n", "els", "regs")
+    packs = store(met.groupBy("token", "slot").agg(F.collect_list(F.when(F.col("component") != F.col("major"), F.col("id"))).alias("queries"), F.collect_list(member).alias("members")), "packs")
+    x = packs.where(F.size("queries") > 0).select("token", F.col("slot").alias("sx"), F.col("queries"), F.col("members").alias("mx"))
+    y = packs.select("token", F.col("slot").alias("sy"), F.col("members").alias("my"))
+
+    def compared(batches):
+        done: set[tuple[int, int]] = set()
+        least = (percent / 100 - margin - 0.05) * _WIDTH  # registers that agree; their share is near the similarity
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                queries, mx, my = (batch.column(c)[i].as_py() for c in range(3))
+                wanted = set(queries)
+                regs, sizes = np.frombuffer(b"".join([m["regs"] for m in my]), np.uint16).reshape(-1, _WIDTH), np.array([m["n"] for m in my], float)
+                ids, comps = np.array([m["id"] for m in my]), np.array([m["component"] for m in my])
+                for m in mx:
+                    if m["id"] not in wanted:
+                        continue
+                    at = np.flatnonzero((comps != m["component"]) & (100 * np.minimum(sizes, m["n"]) >= percent * np.maximum(sizes, m["n"])))
+                    own_regs = np.frombuffer(m["regs"], np.uint16)
+                    at = at[(regs[at] == own_regs).sum(axis=1) >= least]
+                    at = np.array([j for j in at.tolist() if (m["id"], ids[j]) not in done and (ids[j], m["id"]) not in done], int)
+                    if not len(at):
+                        continue
+                    done.update((m["id"], int(ids[j])) for j in at)
+                    own = np.frombuffer(m["els"], np.uint64)
+                    for j in at[estimate(np.broadcast_to(own_regs, (len(at), _WIDTH)), regs[at], np.full(len(at), float(m["n"])), sizes[at]) >= percent / 100 - margin].tolist():
+                        other = np.frombuffer(my[j]["els"], np.uint64)
+                        both = len(np.intersect1d(own, other, assume_unique=True))
+                        if 100 * both >= percent * (len(own) + len(other) - both):
+                            out.append((min(m["id"], int(ids[j])), max(m["id"], int(ids[j]))))
+            if len(done) > 1 << 20:
+                done.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return x.join(y, "token").select("queries", "mx", "my").mapInArrow(compared, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, margin: float = 0.1, rounds: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row; kept: the least id of its component."""
     sketches = store(sketch(docs, size, key=key, text=text), "sketches")
     classes = store(sketches.where(F.col("sig").isNotNull() & F.col("id").isNotNull()).groupBy("sig").agg(F.min(F.struct("id", "n", "regs")).alias("x")).select("sig", "x.id", "x.n", "x.regs"), "classes")
@@ -181,21 +269,41 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, margin
     fits = 100 * F.least("n", "nl") >= percent * F.greatest("n", "nl")
     leaders = dealt.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("x"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", F.col("x.id").alias("leader"), F.col("x.n").alias("nl"))
     shared = store(dealt.join(leaders, "bucket"), "buckets")
-    pairs = shared.where((F.col("id") != F.col("leader")) & fits).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    likely = store(_likely(pairs, classes, percent / 100 - margin), "pairs")
     # whole texts are needed of what may be linked alone; they are dealt out once for all comparisons
     wanted = shared.select("id").distinct()
     texts = store(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    links = store(_verified(likely, texts, size, percent), "near-links")
-    first = components(links)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return store(_verified(store(_likely(pairs, classes, percent / 100 - margin), "pairs"), texts, size, percent), "near-links")
+
+    # a class meets many leaders; it is compared with one of each component, the one it shares most buckets with, and only
+    # where that fails, and the components still differ, with the next and at last with all others
+    stars = store(shared.where((F.col("id") != F.col("leader")) & fits).groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("n")), "stars")
+    links, first, tried = None, None, None
+    for step in range(rounds + 1):
+        apart = stars
+        if first is not None:
+            apart = apart.join(tried, ["a", "b"], "left_anti").join(first.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+            apart = apart.withColumn("ca", F.coalesce("ca", "a")).where(F.col("ca") != F.coalesce("cb", "b"))
+        else:
+            apart = apart.withColumn("ca", F.lit(0).cast("long"))
+        if step < rounds:
+            apart = apart.groupBy("b", "ca").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+        apart = store(apart.select("a", "b"), "compared")
+        if apart.isEmpty():
+            break
+        found = linked(apart)
+        tried = apart if tried is None else tried.unionByName(apart)
+        links = found if links is None else links.unionByName(found)
+        first = components(links)
+    if first is None:  # no bucket holds two classes
+        links = classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        first = classes.select("id", F.col("id").alias("component")).limit(0)
     # buckets in which the components found so far do not meet
     labelled = shared.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rest = store(labelled.join(open_, "bucket").select("bucket", "id", "n", "leader", "component"), "open-buckets")
-    x = rest.select("bucket", F.col("id").alias("a"), F.col("n").alias("nl"), F.col("component").alias("ca"))
-    y = rest.select("bucket", F.col("id").alias("b"), "n", F.col("component").alias("cb"), "leader")
-    more = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("leader")) & fits).select("a", "b").distinct()
-    later = store(_verified(store(_likely(more, classes, percent / 100 - margin), "pairs"), texts, size, percent), "near-links")
+    rest = store(labelled.join(open_, "bucket").select("id", "component").distinct(), "open-classes")
+    later = store(_across(store(rest.join(texts, "id"), "open-texts"), size, percent, margin), "near-links")
     known = components(links.unionByName(later)) if not later.isEmpty() else first
     of_class = classes.select("sig", F.col("id").alias("class_id")).join(known.withColumnRenamed("id", "class_id"), "class_id", "left").select("sig", F.coalesce("component", "class_id").alias("component"))
     own = sketches.select("id", "n", "sig").join(of_class, "sig", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
