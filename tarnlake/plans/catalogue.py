@@ -13,7 +13,8 @@ from ..functions import url as U
 from ..operators import archive, dedupe, graph, match, merge, metrics, populations, rules, smart_match
 from .registry import query
 
-AS_OF = F.lit("1998-09-02").cast("date")
+def _as_of():
+    return F.lit("1998-09-02").cast("date")
 
 
 def _status(c="o_orderstatus"):
@@ -25,7 +26,7 @@ def _closing():
 
 
 def _bucket():
-    return status.bucket(_status(), F.col("o_orderdate").cast("date"), _closing(), AS_OF)
+    return status.bucket(_status(), F.col("o_orderdate").cast("date"), _closing(), _as_of())
 
 
 _BUCKET_SQL = """CASE WHEN o_orderdate::DATE + 90 < DATE '1998-09-02' THEN 'CLOSED' WHEN o_orderstatus = 'O' AND o_orderdate::DATE + 90 <= DATE '1998-09-02' + 30 THEN 'CLOSING_SOON'
@@ -40,7 +41,7 @@ def status_coverage(t):
 @query("""SELECT CASE WHEN o_orderdate::DATE + 90 < DATE '1998-09-02' THEN 'CLOSED' WHEN o_orderdate::DATE > DATE '1998-09-02' THEN 'UPCOMING' WHEN o_orderdate IS NULL THEN 'STATUS_UNVERIFIED' ELSE 'OPEN' END AS call_status,
   o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2""")
 def call_status(t):
-    own = t("orders").select(status.call_status(F.col("o_orderdate").cast("date"), _closing(), AS_OF).alias("call_status"), "o_orderpriority")
+    own = t("orders").select(status.call_status(F.col("o_orderdate").cast("date"), _closing(), _as_of()).alias("call_status"), "o_orderpriority")
     return own.groupBy("call_status", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -315,7 +316,7 @@ _ASSESS_SQL = """WITH o AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'CLOSED'
 def _assessed(t):
     own = t("orders").withColumn("s", F.when(F.col("o_orderstatus") == "F", "CLOSED").when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 3 == 0), "OPEN").when(F.col("o_orderstatus") == "O", "CLOSED").otherwise("UNKNOWN")).withColumn("c", _closing())
     ident = F.concat_ws("|", F.col("o_custkey").cast("string"), F.col("o_orderdate").cast("date").cast("string"))
-    return archive.assess(own, F.col("s"), F.col("c"), AS_OF, ident, [F.col("o_orderpriority") == "5-LOW"], []).select("o_orderkey", F.year("c").alias("closing_year"), "blockers", "archive_state")
+    return archive.assess(own, F.col("s"), F.col("c"), _as_of(), ident, [F.col("o_orderpriority") == "5-LOW"], []).select("o_orderkey", F.year("c").alias("closing_year"), "blockers", "archive_state")
 
 
 @query(_ASSESS_SQL)
