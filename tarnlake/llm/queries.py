@@ -20,7 +20,7 @@ def tokenizer() -> str:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
     return toxicity.score(docs, model).withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False))).select("doc_id", "held_out", "score", "predicted", "n_passages")
 
 
@@ -111,7 +111,7 @@ QUERIES["op9_suffix_dedup"] = op9_suffix_dedup
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = cotraining.fit(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
+    model = cotraining.fit(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
     return cotraining.score(docs, model).withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False))).select("doc_id", "held_out", "score", "predicted")
 
 
