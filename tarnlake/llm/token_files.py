@@ -68,11 +68,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
-    """A file's first id is placed by the totals of the files before it: one row a file."""
+    """A file's first id is placed by the totals of the files before it: one row of two numbers a file, which is broadcast."""
     rows = spark.read.schema(SCHEMA).parquet(path)
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     firsts = totals.select("file", F.coalesce(F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    return rows.join(firsts, "file").withColumn("start", F.col("first") + F.col("local_start")).select("doc_id", "file", "ordinal", "start", "n_tokens", "ids")
+    return rows.join(F.broadcast(firsts), "file").withColumn("start", F.col("first") + F.col("local_start")).select("doc_id", "file", "ordinal", "start", "n_tokens", "ids")
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
