@@ -7,6 +7,7 @@ tokenizer's own pieces first, as far fewer pieces than words differ; other words
 
 from __future__ import annotations
 
+import gc
 import os
 
 import numpy as np
@@ -57,7 +58,10 @@ class Encoder:
         whole, split = [], []
         for word in words:
             text = word.decode()
-            if _SIMPLE.fullmatch(text) and "<|" not in text:
+            core = text.rstrip(".,;:!?")
+            if core.isalpha() and max(core) <= "ÿ":  # letters, then at most one run of marks
+                split.append((word, [core.lower(), text[len(core) :]] if len(core) < len(text) else [core.lower()]))
+            elif _SIMPLE.fullmatch(text) and "<|" not in text:
                 split.append((word, _PIECES.findall(text.lower())))
             else:
                 whole.append((word, text))
@@ -72,6 +76,15 @@ class Encoder:
 
     def encode(self, texts: list[str | None], block: int = 64) -> list[np.ndarray]:
         """The ids of each text, without special tokens; null is empty."""
+        collecting = gc.isenabled()
+        gc.disable()  # no cycles are made here, and searches for them would go through the whole memo
+        try:
+            return self._encode(texts, block)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None], block: int) -> list[np.ndarray]:
         out = []
         for i in range(0, len(texts), block):
             if len(self.words) > self.limit:
@@ -79,11 +92,14 @@ class Encoder:
             if len(self.pieces) > self.limit:
                 self.pieces.clear()
             split = [t.encode("utf-8", "replace").split() if t else [] for t in texts[i : i + block]]
+            found = [list(map(self.words.get, words)) for words in split]
             new: set[bytes] = set()
-            for words in split:
-                new.update(set(words).difference(self.words))
+            for words, ids in zip(split, found, strict=True):
+                if None in ids:
+                    new.update([w for w, x in zip(words, ids, strict=True) if x is None])
             if new:
                 self._learn(new)
-            known = self.words
-            out += [np.frombuffer(b"".join([known[w] for w in words]), self.dtype) for words in split]
+                known = self.words
+                found = [[known[w] for w in words] if None in ids else ids for words, ids in zip(split, found, strict=True)]
+            out += [np.frombuffer(b"".join(ids), self.dtype) for ids in found]
         return out
