@@ -116,11 +116,12 @@ def relax(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, rat
     return {use: times / scale for use, times in bought.items()}, bound
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 120, rate: float = 0.3) -> list[tuple[int, list[tuple[int, int]]]]:
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 40, rate: float = 0.3) -> list[tuple[int, list[tuple[int, int]]]]:
     """[(times, [(size, copies)])] that together hold each size exactly as often as the histogram has it.
 
-    The relaxed program's configurations are rounded down, the rest is packed by tightest fit. Best-fit decreasing over
-    the histogram is worked out too, and the shorter plan is returned.
+    The relaxed program's configurations are rounded down and the rest is packed best-fit decreasing; where that misses the
+    bound from below, tightest fit is tried for the rest. Best-fit decreasing of all is worked out too, and the shortest
+    plan is returned.
     """
     sizes = np.array(sorted(k for k, v in histogram.items() if v > 0), np.int64)
     if not len(sizes):
@@ -128,7 +129,6 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 120, rate: flo
     if sizes[0] < 1 or sizes[-1] > capacity:
         raise ValueError("lengths must be from 1 to the capacity")
     counts = np.array([histogram[int(k)] for k in sizes], np.int64)
-    plain = _best_fit(sizes, counts, capacity)
     bought, bound = relax(sizes, counts, capacity, rounds, rate)
     left, chosen = counts.copy(), []
     for use, times in sorted(bought.items(), key=lambda x: (-x[1], x[0])):
@@ -137,7 +137,11 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 120, rate: flo
             chosen.append((n, [(int(sizes[k]), m) for k, m in reversed(use)]))
             for k, m in use:
                 left[k] -= n * m
-    return min((chosen + _tightest_fit(sizes, left, capacity), plain), key=lambda p: sum(n for n, _ in p))
+    least = max(-(-int(counts @ sizes) // capacity), int(np.ceil(bound - 1e-6)))
+    plans = [chosen + _best_fit(sizes, left, capacity), _best_fit(sizes, counts, capacity)]
+    if min(sum(n for n, _ in p) for p in plans) > least:  # the bound is not met: fill as tightly as can be
+        plans.append(chosen + _tightest_fit(sizes, left, capacity))
+    return min(plans, key=lambda p: sum(n for n, _ in p))
 
 
 def _tightest_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -234,7 +238,7 @@ def places(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarra
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def pack(cut: DataFrame, capacity: int = 2048, rounds: int = 120) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 2048, rounds: int = 40) -> DataFrame:
     """Adds sequence_id and offset to pieces(), which must be stored: its shards are counted before they are placed."""
     spark = cut.sparkSession
     made = cut.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n"))
@@ -263,6 +267,6 @@ def pack(cut: DataFrame, capacity: int = 2048, rounds: int = 120) -> DataFrame:
     return ranked.mapInArrow(placed, ", ".join(f"{n} {t}" for n, t in ranked.dtypes if n != "rank") + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, rounds: int = 120, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, rounds: int = 40, **options) -> DataFrame:
     """Pieces of all documents with their places."""
     return pack(store(pieces(docs, tokenizer, capacity=capacity, **options), "pieces"), capacity, rounds)
