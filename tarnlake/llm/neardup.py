@@ -35,7 +35,7 @@ from .components import components
 _MEMO: dict[bytes, int] = {}
 _BASE, _RATE, _TOP = 1.001, 20.0, (1 << 16) - 2
 _WIDTH, _BANDS, _ROWS = 256, 64, 7
-_SLOTS, _PACK = 1 << 20, 128
+_SLOTS = 1 << 20
 
 
 def _numbers(n: int, seed: int) -> np.ndarray:
@@ -174,13 +174,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, size: int, percent: int, margin: float) -> DataFrame:
-    """(a, b): links between different components, of rows (id, component, text).
+def _across(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): the pairs of different components, of rows (id, component, text), that an exact prefix filter leaves.
 
     Shingles are put in one order, the rare ones first; sets as near as `percent` share one within the first
-    n - ceil(percent * n / 100) + 1 of either. Any order is exact, so rarity may be told by counts in a table of fixed size. At a
-    shingle, members are dealt into packs of about _PACK, and packs of queries (members of all but the largest component)
-    meet packs of targets: pairs are estimated and verified where they meet, and links alone leave the task.
+    n - ceil(percent * n / 100) + 1 of either. Any order is exact, so rarity may be told by counts in a table of fixed size.
     """
     spark = rows.sparkSession
 
@@ -197,18 +195,11 @@ def _across(rows: DataFrame, size: int, percent: int, margin: float) -> DataFram
     table[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     sent = spark.sparkContext.broadcast(table)
 
-    def hashed(batches):
-        for batch in batches:
-            sets = [shingles(t, size) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([registers(x).tobytes() for x in sets], pa.binary())], names=["id", "component", "n", "els", "regs"])
-
-    sets = store(rows.select("id", "component", "text").mapInArrow(hashed, "id long, component long, n long, els binary, regs binary"), "open-sets")
-
     def first(batches):
         for batch in batches:
             ids, comps, sizes, tokens = [], [], [], []
-            for k, c, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own = np.frombuffer(raw, np.uint64)
+            for k, c, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = shingles(t, size)
                 n = len(own) - -(-percent * len(own) // 100) + 1
                 order = np.lexsort((own, sent.value[(own % np.uint64(_SLOTS)).astype(np.int64)]))[:n]
                 tokens.append(own[order].astype(np.int64))
@@ -217,47 +208,15 @@ def _across(rows: DataFrame, size: int, percent: int, margin: float) -> DataFram
                 sizes += [len(own)] * len(order)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens or [np.empty(0, np.int64)])), pa.array(ids, pa.int64()), pa.array(comps, pa.int64()), pa.array(sizes, pa.int64())], names=["token", "id", "component", "n"])
 
-    marks = store(sets.select("id", "component", "els").mapInArrow(first, "token long, id long, component long, n long"), "prefixes")
+    marks = store(rows.select("id", "component", "text").mapInArrow(first, "token long, id long, component long, n long"), "prefixes")
     by = marks.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
-    # shingles at which several components meet; members of small components are queries there, all members are targets
-    shared = by.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count(F.lit(1)).alias("components"), F.sum("k").alias("members")).where("components > 1")
-    met = marks.join(shared, "token").join(sets.select("id", "els", "regs"), "id").withColumn("slot", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("members") / _PACK))).cast("int"))
-    member = F.struct("id", "component", "n", "els", "regs")
-    packs = store(met.groupBy("token", "slot").agg(F.collect_list(F.when(F.col("component") != F.col("major"), F.col("id"))).alias("queries"), F.collect_list(member).alias("members")), "packs")
-    x = packs.where(F.size("queries") > 0).select("token", F.col("slot").alias("sx"), F.col("queries"), F.col("members").alias("mx"))
-    y = packs.select("token", F.col("slot").alias("sy"), F.col("members").alias("my"))
-
-    def compared(batches):
-        done: set[tuple[int, int]] = set()
-        least = (percent / 100 - margin - 0.05) * _WIDTH  # registers that agree; their share is near the similarity
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                queries, mx, my = (batch.column(c)[i].as_py() for c in range(3))
-                wanted = set(queries)
-                regs, sizes = np.frombuffer(b"".join([m["regs"] for m in my]), np.uint16).reshape(-1, _WIDTH), np.array([m["n"] for m in my], float)
-                ids, comps = np.array([m["id"] for m in my]), np.array([m["component"] for m in my])
-                for m in mx:
-                    if m["id"] not in wanted:
-                        continue
-                    at = np.flatnonzero((comps != m["component"]) & (100 * np.minimum(sizes, m["n"]) >= percent * np.maximum(sizes, m["n"])))
-                    own_regs = np.frombuffer(m["regs"], np.uint16)
-                    at = at[(regs[at] == own_regs).sum(axis=1) >= least]
-                    at = np.array([j for j in at.tolist() if (m["id"], ids[j]) not in done and (ids[j], m["id"]) not in done], int)
-                    if not len(at):
-                        continue
-                    done.update((m["id"], int(ids[j])) for j in at)
-                    own = np.frombuffer(m["els"], np.uint64)
-                    for j in at[estimate(np.broadcast_to(own_regs, (len(at), _WIDTH)), regs[at], np.full(len(at), float(m["n"])), sizes[at]) >= percent / 100 - margin].tolist():
-                        other = np.frombuffer(my[j]["els"], np.uint64)
-                        both = len(np.intersect1d(own, other, assume_unique=True))
-                        if 100 * both >= percent * (len(own) + len(other) - both):
-                            out.append((min(m["id"], int(ids[j])), max(m["id"], int(ids[j]))))
-            if len(done) > 1 << 20:
-                done.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return x.join(y, "token").select("queries", "mx", "my").mapInArrow(compared, "a long, b long").distinct()
+    # members of the largest component at a shingle meet those of the others, not each other
+    major = by.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count(F.lit(1)).alias("components")).where("components > 1").select("token", "major")
+    met = marks.join(major, "token")
+    x = met.where("component <> major").select("token", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
+    y = met.select("token", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), "major")
+    pairs = x.join(y, "token").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, margin: float = 0.1, rounds: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,7 +262,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, margin
     labelled = shared.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     rest = store(labelled.join(open_, "bucket").select("id", "component").distinct(), "open-classes")
-    later = store(_across(store(rest.join(texts, "id"), "open-texts"), size, percent, margin), "near-links")
+    later = linked(_across(rest.join(texts, "id"), size, percent))
     known = components(links.unionByName(later)) if not later.isEmpty() else first
     of_class = classes.select("sig", F.col("id").alias("class_id")).join(known.withColumnRenamed("id", "class_id"), "class_id", "left").select("sig", F.coalesce("component", "class_id").alias("component"))
     own = sketches.select("id", "n", "sig").join(of_class, "sig", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
