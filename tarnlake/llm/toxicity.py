@@ -168,16 +168,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 10_000, prior: f
     sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(drawn, "k").dropDuplicates(["t", "y"]).select("t", "y")
 
     def counted(batches):
-        counts, docs_of, tokens = [Counter(), Counter()], [0, 0], [0, 0]
+        counts, docs_of, tokens = [Counter(), Counter()], [0, 0], 0
+
+        def flushed():
+            nonlocal tokens
+            names = list(set(counts[0]) | set(counts[1]))
+            rows = [(n, counts[1][n], counts[0][n], 0) for n in names] + [(b"", docs_of[1], docs_of[0], tokens)]
+            counts[0].clear(), counts[1].clear()
+            docs_of[:], tokens = [0, 0], 0
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i else pa.binary()) for i in range(4)], names=["u", "y1", "y0", "tokens"])
+
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ws = words(t)
                 docs_of[y] += 1
-                tokens[y] += len(ws)
+                tokens += 0 if y else len(ws)
                 counts[y].update({u for w in set(ws) for u in units(w)})
-        names = list(set(counts[0]) | set(counts[1]))
-        names_y = [(n, counts[1][n], counts[0][n]) for n in names]
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _, _ in names_y] + [b""], pa.binary()), pa.array([b for _, b, _ in names_y] + [docs_of[1]], pa.int64()), pa.array([c for _, _, c in names_y] + [docs_of[0]], pa.int64()), pa.array([0] * len(names_y) + [tokens[0]], pa.int64())], names=["u", "y1", "y0", "tokens"])
+                if len(counts[0]) + len(counts[1]) > 200_000:  # what a task holds is bounded; sums follow
+                    yield flushed()
+        yield flushed()
 
     counts = sample.mapInArrow(counted, "u binary, y1 long, y0 long, tokens long").groupBy("u").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"), F.sum("tokens").alias("tokens"))
     # a unit of fewer toxic texts cannot reach z; what is left is bounded by the sample
