@@ -56,3 +56,20 @@ def lower_ascii(text: str | None) -> bytes:
 
 def crc32(data) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
+
+
+_CACHES: dict[str, object] = {}
+_HOLDER = [""]
+
+
+def claim(name: str, clear) -> None:
+    """Tells that this worker process now fills the named cache: the caches of other operators are emptied.
+
+    Workers outlive stages; without this, a job of many operators would hold all their caches at once.
+    """
+    _CACHES[name] = clear
+    if _HOLDER[0] != name:
+        for other, empty in _CACHES.items():
+            if other != name:
+                empty()
+        _HOLDER[0] = name

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, store
+from .common import claim, lower_ascii, store
 from .components import components
 
 _MEMO: dict[bytes, int] = {}
@@ -59,7 +59,8 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     ws = lower_ascii(text).split()
     if not ws:
         return np.empty(0, np.uint64)
-    if len(_MEMO) > 500_000:
+    claim("shingles", _MEMO.clear)
+    if len(_MEMO) > 300_000:
         _MEMO.clear()
     for w in set(ws).difference(_MEMO):
         _MEMO[w] = xxhash.xxh3_64_intdigest(w)

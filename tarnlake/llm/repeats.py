@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import claim, store
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -52,7 +52,8 @@ _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << max(22, (n + 1).bit_length())
+    claim("powers", _TABLES.clear)
+    n = 1 << max(21, (n + 1).bit_length())
     if n not in _TABLES:
         _TABLES[n] = (_powers(_STEP, n), _powers(_inverse(_STEP), n))
     return _TABLES[n]

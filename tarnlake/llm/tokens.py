@@ -13,15 +13,23 @@ import os
 import numpy as np
 import regex
 
+from .common import claim
+
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _SIMPLE = regex.compile(r"[\x21-\x7E\xA1-\xAC\xAE-\xFF]+")
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _forget() -> None:
+    for encoder in _ENCODERS.values():
+        encoder.words.clear()
+        encoder.pieces.clear()
+
+
 class Encoder:
     """Encodes texts with one tokenizer file. ``limit`` bounds the words that the memo holds."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -85,6 +93,7 @@ class Encoder:
                 gc.enable()
 
     def _encode(self, texts: list[str | None], block: int) -> list[np.ndarray]:
+        claim("tokens", _forget)
         out = []
         for i in range(0, len(texts), block):
             if len(self.words) > self.limit:
