@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import store
+
 #: ASCII that is no letter ends a word; case was folded before.
 _TABLE = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _STEMS = (4, 5, 6, 7)
@@ -165,7 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 10_000, prior: f
     space = 1 << 30
     draw = F.pmod(F.xxhash64("k", F.lit(5)), F.lit(space))
     drawn = known.where(draw < F.when(F.col("y") == 1, int(space * min(1.0, per_class / sizes[1]))).otherwise(int(space * min(1.0, per_class / sizes[0]))))
-    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(drawn, "k").dropDuplicates(["t", "y"]).select("t", "y")
+    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(drawn), "k").dropDuplicates(["t", "y"]).select("t", "y")
+    sample = store(sample, "toxicity-sample")  # the draw, about 2 * per_class keys, is broadcast; texts that were not drawn are not dealt out
 
     def counted(batches):
         counts, docs_of, tokens = [Counter(), Counter()], [0, 0], 0
