@@ -26,6 +26,20 @@ def union_match(left: DataFrame, right: DataFrame, keys: Sequence[tuple[Column,
     return out.distinct()
 
 
+def key_classes(df: DataFrame, keys: dict[str, Sequence[str]], ident: str) -> DataFrame:
+    """(key, ident, class_id, members) of rows that equal another in all columns of a key; class_id is the class's least ident.
+
+    A row a member and key, so a class costs its size and not its pairs. Null equals nothing.
+    """
+    out = None
+    for name, columns in keys.items():
+        rows = df.select(ident, *columns)
+        classes = rows.groupBy(*columns).agg(F.min(ident).alias("class_id"), F.count(F.lit(1)).alias("members")).where("members > 1")
+        own = rows.join(classes, list(columns)).select(F.lit(name).alias("key"), ident, "class_id", "members")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def token_key(c: Column) -> Column:
     """The identity tokens as one key; null if there are none."""
     t = T.identity_tokens(c)

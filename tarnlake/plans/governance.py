@@ -149,6 +149,12 @@ def duplicate_candidates(t):
     return match.union_match(left, right, [(F.col("p_name"), F.col("p_name")), (both, both)], "left_id", "right_id").where("left_id < right_id")
 
 
+@query("""SELECT 'name' AS "key", p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS class_id, count(*) OVER (PARTITION BY p_name) AS members FROM part WHERE p_name IS NOT NULL QUALIFY members > 1
+  UNION ALL SELECT 'brand and size', p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_size), count(*) OVER (PARTITION BY p_brand, p_size) AS members FROM part WHERE p_brand IS NOT NULL AND p_size IS NOT NULL QUALIFY members > 1""")
+def duplicate_classes(t):
+    return match.key_classes(t("part"), {"name": ["p_name"], "brand and size": ["p_brand", "p_size"]}, "p_partkey")
+
+
 @query(r"""WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href\s*=\s*["''][^"'']*["''][^>]*>.*?</a>')) AS x FROM pages), h AS (SELECT page_id, regexp_extract(x, '(?is)href\s*=\s*["'']([^"'']*)["'']', 1) AS href FROM e)
   SELECT page_id, count(*) AS links, count(DISTINCT href) AS distinct_links, count(*) FILTER (WHERE href LIKE 'http%') AS absolute_links FROM h GROUP BY 1""")
 def link_stats(t):

@@ -85,3 +85,10 @@ def test_union_match(spark):
     a = spark.createDataFrame([(1, "x", "u"), (2, "y", None)], "l int, n string, u string")
     b = spark.createDataFrame([(7, "x", "v"), (8, "z", "u")], "r int, n string, u string")
     assert sorted(map(tuple, match.union_match(a, b, [(F.col("n"), F.col("n")), (F.col("u"), F.col("u"))], "l", "r").collect())) == [(1, 7), (1, 8)]
+
+
+def test_key_classes_hold_any_two_rows(spark):
+    rows = [(3, "a", "x", 1), (7, "a", "y", 2), (12, "b", "x", 1), (20, "c", "z", None), (21, "d", "z", None), (5, None, "w", 9), (6, None, "w", 9), (8, "e", "w", 9)]
+    df = spark.createDataFrame(rows, "id long, name string, brand string, size int")
+    got = match.key_classes(df, {"name": ["name"], "both": ["brand", "size"]}, "id")
+    assert sorted(map(tuple, got.collect())) == [("both", 3, 3, 2), ("both", 5, 5, 3), ("both", 6, 5, 3), ("both", 8, 5, 3), ("both", 12, 3, 2), ("name", 3, 3, 2), ("name", 7, 3, 2)]
