@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import new_folder, store_at
+
 
 def links(pages: DataFrame, ident: str = "page_id", html: str = "html") -> DataFrame:
     """(ident, ordinal, href, anchor): every link of a page, in order."""
@@ -26,18 +28,24 @@ def frontier(found: DataFrame, key: str, priority: str, ordinal: str, wave: int)
     return best.orderBy(F.desc(priority), ordinal, key).limit(wave)
 
 
-def tree_levels(nodes: DataFrame, ident: str, parent: str, most: int = 32) -> DataFrame:
-    """(ident, level) from the roots down; nodes whose parent is missing are roots. Nodes on a cycle have no level."""
+def tree_levels(nodes: DataFrame, ident: str, parent: str, most: int | None = None) -> DataFrame:
+    """(ident, level) from the roots down; nodes whose parent is missing are roots. Nodes on a cycle have no level.
+
+    Each level is stored, until one is empty. Nodes below level `most`, or a path of more levels than there are nodes, raise.
+    """
     known = nodes.select(F.col(ident).alias("__p"))
     roots = nodes.join(known, F.col(parent) == F.col("__p"), "left_anti").select(ident, F.lit(0).alias("level"))
     rest = nodes.select(F.col(ident).alias("__c"), F.col(parent).alias("__parent")).where(F.col("__parent").isNotNull())
-    out = step = roots
-    for level in range(1, most + 1):
-        step = rest.join(step, rest["__parent"] == step[ident]).select(F.col("__c").alias(ident), F.lit(level).alias("level"))
-        if level % 8 == 0 and step.isEmpty():
-            break
-        out = out.unionByName(step)
-    return out
+    # levels are files of one folder: the result is one scan, however deep the tree
+    folder = new_folder(nodes.sparkSession, "tree-levels")
+    limit, level, step = most if most is not None else nodes.count(), 0, store_at(roots, f"{folder}/0")
+    while not step.isEmpty():
+        if level > limit:
+            raise RuntimeError(f"nodes stand below level {limit}")
+        level += 1
+        below = rest.join(step, rest["__parent"] == step[ident]).select(F.col("__c").alias(ident), F.lit(level).alias("level"))
+        step = store_at(below, f"{folder}/{level}")
+    return nodes.sparkSession.read.schema(step.schema).option("recursiveFileLookup", "true").parquet(folder)
 
 
 def call_sequence(df: DataFrame, group: str, date: str, ident: str) -> DataFrame:

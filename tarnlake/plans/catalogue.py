@@ -454,7 +454,7 @@ def attribute_map(t):
 @query("WITH RECURSIVE r AS (SELECT p_partkey AS id, 0 AS level FROM part WHERE p_partkey <= 1 UNION ALL SELECT p.p_partkey, r.level + 1 FROM part p JOIN r ON p.p_partkey // 2 = r.id AND p.p_partkey > 1) SELECT id, level FROM r")
 def tree_levels(t):
     nodes = t("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.floor(F.col("p_partkey") / 2).cast("long")).alias("parent"))
-    return graph.tree_levels(nodes, "id", "parent", 16)
+    return graph.tree_levels(nodes, "id", "parent")
 
 
 @query(f"""WITH p AS (SELECT p_partkey, p_brand || '|' || array_to_string({_tokens_sql('p_name')}, ' ') AS k FROM part) SELECT k AS identity_key, count(*) AS members, min(p_partkey) AS leader FROM p GROUP BY 1 HAVING count(*) > 1""")

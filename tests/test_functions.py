@@ -81,6 +81,13 @@ def test_tree_without_cycles(spark):
     assert dict(map(tuple, graph.tree_levels(nodes, "id", "parent", 8).collect())) == {1: 0, 2: 1, 3: 2, 4: 0}
 
 
+def test_deep_trees_are_whole(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(41)] + [(50, 51), (51, 50)], "id long, parent long")
+    assert sorted(map(tuple, graph.tree_levels(chain, "id", "parent").collect())) == [(i, i) for i in range(41)]
+    with pytest.raises(RuntimeError):
+        graph.tree_levels(chain, "id", "parent", 3)
+
+
 def test_union_match(spark):
     a = spark.createDataFrame([(1, "x", "u"), (2, "y", None)], "l int, n string, u string")
     b = spark.createDataFrame([(7, "x", "v"), (8, "z", "u")], "r int, n string, u string")
