@@ -204,6 +204,11 @@ def identity_tokens(t):
     return t("documents").select("doc_id", F.array_join(T.identity_tokens(F.split_part("text", F.lit("\n"), F.lit(1))), " ").alias("tokens"))
 
 
+@query(f"SELECT doc_id, array_to_string({_tokens_sql('text')}, ' ') AS tokens FROM documents")
+def document_tokens(t):
+    return t("documents").select("doc_id", F.array_join(T.identity_tokens(F.col("text")), " ").alias("tokens"))
+
+
 @query(f"""WITH a AS (SELECT item_id, {_tokens_sql('text')} AS ta FROM benchmark), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT DISTINCT doc_id, {_tokens_sql('line')} AS tb FROM l WHERE length(line) > 40),
   ax AS (SELECT item_id, ta, unnest(ta) AS w FROM a WHERE len(ta) >= 10), bx AS (SELECT doc_id, tb, unnest(tb) AS w FROM b WHERE len(tb) >= 10),
   p AS (SELECT item_id, doc_id, ta, tb, count(*) AS k FROM ax JOIN bx USING (w) GROUP BY ALL)

@@ -1,11 +1,13 @@
 """Every registered query of the engine against its SQL, and those without SQL against a plain computation."""
 
 import os
+import re
 from difflib import SequenceMatcher
 
 import duckdb
 import pytest
 
+from tarnlake.functions.text import IGNORED_TOKENS
 from tarnlake.plans import catalogue, governance, registry
 
 DIR = "/root/testdata/sf0.001"
@@ -63,3 +65,12 @@ def test_manifest_is_stable(spark):
 
 def test_catalogue_is_registered():
     assert catalogue and governance and len(registry.QUERIES) > 50
+
+
+def test_document_tokens_are_of_all_lines(spark):
+    got = {r.doc_id: set(r.tokens.split()) for r in registry.QUERIES["document_tokens"](spark, DIR).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    assert got.keys() == texts.keys() and any("\n" in t for t in texts.values())
+    for k, t in texts.items():
+        words = set(re.split("[^a-z0-9]+", t.lower())) - {"", *IGNORED_TOKENS}
+        assert got[k] == {w[:-1] if w.endswith("s") and len(w) > 4 else w for w in words}
