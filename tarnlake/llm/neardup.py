@@ -11,7 +11,7 @@ hold several components are compared across these by an exact prefix filter, so
 while pairs inside a component are never made.
 
 With 64 bands of 7 of 256 registers, a pair at similarity 0.8 shares no band with probability 3e-7; the estimate has a
-standard error of 0.025 there and pairs are kept down to 0.1 below the threshold.
+standard error of 0.025 there and pairs are kept down to 0.2 below the threshold.
 
 Words are what white space parts, A-Z lower-cased. Fewer words than a shingle make one shingle of all; null and empty texts
 have none and are linked with nothing. Rows of one id share their fate. Rows without an id are kept and not linked. Shingles
@@ -220,7 +220,7 @@ def _across(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, margin: float = 0.1, rounds: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, margin: float = 0.2, rounds: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row; kept: the least id of its component."""
     sketches = store(sketch(docs, size, key=key, text=text), "sketches")
     classes = store(sketches.where(F.col("sig").isNotNull() & F.col("id").isNotNull()).groupBy("sig").agg(F.min(F.struct("id", "n", "regs")).alias("x")).select("sig", "x.id", "x.n", "x.regs"), "classes")

@@ -151,6 +151,16 @@ def test_near_duplicates_link_through_members(spark):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def test_near_duplicates_at_the_threshold_with_a_low_estimate(spark):
+    """8 of 10 shingles are common, but the registers say 0.69: the pair is compared on its full sets all the same."""
+    a = [f"s26970w{j}" for j in range(12)]
+    b = [*a[:-1], "end"]
+    x, y = (neardup.registers(neardup.shingles(" ".join(t), 4))[None] for t in (a, b))
+    assert neardup.estimate(x, y, np.array([9.0]), np.array([9.0]))[0] < 0.7
+    got = neardup.near_duplicates(spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string"), size=4)
+    assert {r.component_id for r in got.collect()} == {1}
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
