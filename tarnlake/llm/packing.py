@@ -5,7 +5,8 @@ are known to the packer by their length alone: a histogram of at most ``capacity
 configuration is a multiset of lengths that fits a sequence. The linear program - as few configurations as cover the
 histogram - is solved by multiplicative weights: each length has a dual price, the dearest configuration at these prices
 (a knapsack, by dynamic programming) is bought as often as its scarcest length allows, and the prices of what was bought
-fall. The solution is rounded down, the rest is packed by tightest fit, and sequences are numbered. Pieces
+fall. The solution is rounded down, the rest is packed best-fit decreasing
+(or by tightest fit), a plan of best-fit decreasing alone replaces it where that is shorter, and sequences are numbered. Pieces
 take the places of their length by rank, which is counted in salted groups, so no length gathers in one task.
 """
 
