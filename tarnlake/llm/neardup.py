@@ -7,11 +7,13 @@ merge, and two sets agree in a register about as often as their Jaccard similari
 paired with its bucket's least id. From the registers of a pair and the exact set sizes the similarity is estimated by
 likelihood; pairs far below the threshold go, the others are compared on their full sets. A class is compared with one
 leader first, and with others only as long as their components differ. When all leaders are done, the classes of buckets that still
-hold several components are compared across these by an exact prefix filter, so a link is not lost for its leader's sake,
-while pairs inside a component are never made.
+hold several components are compared across these by an exact filter of prefixes and places, on full sets, so a link is lost
+neither for its leader's sake nor by its estimate, while pairs inside a component are never made.
 
 With 64 bands of 7 of 256 registers, a pair at similarity 0.8 shares no band with probability 3e-7; the estimate has a
-standard error of 0.025 there and pairs are kept down to 0.2 below the threshold.
+standard error of 0.025 there and spares a comparison with a leader only 0.2 or more below the threshold. Draws are taken from
+the upper 32 bits of a shingle's hash by 256 linear hashes; with base 1.001 a register tells draws a thousandth apart, so
+registers of two sets agree about as often as their minima do.
 
 Words are what white space parts, A-Z lower-cased. Fewer words than a shingle make one shingle of all; null and empty texts
 have none and are linked with nothing. Rows of one id share their fate. Rows without an id are kept and not linked. Shingles
@@ -175,11 +177,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _overlap(n, m, percent: int):
+    """The least common elements of sets of n and m elements as near as `percent`."""
+    return F.ceil(percent * (n + m) / (100 + percent))
+
+
 def _across(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): the pairs of different components, of rows (id, component, text), that an exact prefix filter leaves.
+    """(a, b): the pairs of different components, of rows (id, component, text), that an exact filter of prefixes leaves.
 
     Shingles are put in one order, the rare ones first; sets as near as `percent` share one within the first
-    n - ceil(percent * n / 100) + 1 of either. Any order is exact, so rarity may be told by counts in a table of fixed size.
+    n - ceil(percent * n / 100) + 1 of the larger and n - ceil(2 * percent * n / (100 + percent)) + 1 of the smaller. At the
+    first shared one nothing before it is common, so what follows it in either set bounds the overlap: a pair whose bound
+    is below what the threshold asks is never made. Where a family's members differ in shingles of their own, which come
+    first, this leaves few pairs but the linked ones, however many members share the rest. Any order is exact, so rarity may
+    be told by counts in a table of fixed size.
     """
     spark = rows.sparkSession
 
@@ -198,25 +209,31 @@ def _across(rows: DataFrame, size: int, percent: int) -> DataFrame:
 
     def first(batches):
         for batch in batches:
-            ids, comps, sizes, tokens = [], [], [], []
+            ids, comps, sizes, tokens, places = [], [], [], [], []
             for k, c, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 own = shingles(t, size)
                 n = len(own) - -(-percent * len(own) // 100) + 1
                 order = np.lexsort((own, sent.value[(own % np.uint64(_SLOTS)).astype(np.int64)]))[:n]
                 tokens.append(own[order].astype(np.int64))
+                places.append(np.arange(len(order), dtype=np.int32))
                 ids += [k] * len(order)
                 comps += [c] * len(order)
                 sizes += [len(own)] * len(order)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens or [np.empty(0, np.int64)])), pa.array(ids, pa.int64()), pa.array(comps, pa.int64()), pa.array(sizes, pa.int64())], names=["token", "id", "component", "n"])
+            columns = [np.concatenate(tokens or [np.empty(0, np.int64)]), np.array(ids, np.int64), np.array(comps, np.int64), np.array(sizes, np.int64), np.concatenate(places or [np.empty(0, np.int32)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "id", "component", "n", "place"])
 
-    marks = store(rows.select("id", "component", "text").mapInArrow(first, "token long, id long, component long, n long"), "prefixes")
+    marks = store(rows.select("id", "component", "text").mapInArrow(first, "token long, id long, component long, n long, place int"), "prefixes")
     by = marks.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
     # members of the largest component at a shingle meet those of the others, not each other
     major = by.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count(F.lit(1)).alias("components")).where("components > 1").select("token", "major")
-    met = marks.join(major, "token")
-    x = met.where("component <> major").select("token", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    y = met.select("token", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), "major")
-    pairs = x.join(y, "token").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("major")) | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
+    met = marks.join(major, "token").select("token", "id", "component", "n", "place", (F.col("component") == F.col("major")).alias("of_major"))
+    larger = met.select("token", F.when(F.col("of_major"), 1).otherwise(0).alias("side"), F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    smaller = met.where(F.col("n") - F.col("place") >= _overlap(F.col("n"), F.col("n"), percent))
+    smaller = smaller.select("token", F.explode(F.when(F.col("of_major"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"), F.col("id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    reached = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= _overlap(F.col("nx"), F.col("ny"), percent)
+    ordered = (F.col("ny") < F.col("nx")) | (F.col("ny") == F.col("nx")) & (F.col("x") < F.col("y"))
+    fits = 100 * F.col("ny") >= percent * F.col("nx")
+    pairs = larger.join(smaller, ["token", "side"]).where((F.col("cx") != F.col("cy")) & ordered & fits & reached)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -263,7 +280,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, margin
     labelled = shared.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     rest = store(labelled.join(open_, "bucket").select("id", "component").distinct(), "open-classes")
-    later = linked(_across(rest.join(texts, "id"), size, percent))
+    # the filter is exact and leaves few pairs: all are compared on their full sets, whatever their estimate
+    later = store(_verified(store(_across(rest.join(texts, "id"), size, percent), "pairs"), texts, size, percent), "near-links")
     known = components(links.unionByName(later)) if not later.isEmpty() else first
     of_class = classes.select("sig", F.col("id").alias("class_id")).join(known.withColumnRenamed("id", "class_id"), "class_id", "left").select("sig", F.coalesce("component", "class_id").alias("component"))
     own = sketches.select("id", "n", "sig").join(of_class, "sig", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
