@@ -38,23 +38,27 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int
         from .tokens import Encoder
 
         encoder, shard, seen = Encoder.of(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        end = [] if end_id is None else [end_id]
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                out: dict[str, list] = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32", "nth", "ids")}
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    ids = np.append(ids, np.array(end, ids.dtype)).astype("<u4")
-                    for k, at in enumerate(range(0, len(ids), capacity)):
-                        own = ids[at : at + capacity]
-                        raw = own.tobytes()
-                        for n, v in zip(out, (doc, k, at, len(own), zlib.crc32(raw), int(seen[len(own)]), own.astype(np.int32) if with_ids else None), strict=True):
-                            out[n].append(v)
-                        seen[len(own)] += 1
-                cols = {"doc_id": pa.array(out["doc_id"], pa.int64()), "piece": pa.array(out["piece"], pa.int32()), "start": pa.array(out["start"], pa.int64()), "length": pa.array(out["length"], pa.int64()), "ids_crc32": pa.array(out["ids_crc32"], pa.int64())}
-                cols |= {"shard": pa.array(np.full(len(out["nth"]), shard, np.int32)), "nth": pa.array(out["nth"], pa.int64())}
+                ids, at = encoder.encode_flat(part.column(1).to_pylist(), end_id)
+                ids, sizes = ids.astype("<u4"), np.diff(at)
+                times = -(-sizes // capacity)
+                of = np.repeat(np.arange(len(sizes)), times)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+                start = piece * capacity
+                length = np.minimum(capacity, sizes[of] - start)
+                first = at[of] + start
+                crc = [zlib.crc32(ids[a:b].data) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+                order = np.argsort(length, kind="stable")
+                begin = np.flatnonzero(np.diff(length[order], prepend=-1))
+                nth = np.empty(len(of), np.int64)
+                nth[order] = np.arange(len(of)) - np.repeat(begin, np.diff(np.append(begin, len(of))))
+                nth += seen[length]
+                seen += np.bincount(length, minlength=capacity + 1)
+                cols = {"doc_id": part.column(0).take(pa.array(of)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crc, pa.int64()), "shard": pa.array(np.full(len(of), shard, np.int32)), "nth": pa.array(nth)}
                 if with_ids:
-                    cols["ids"] = pa.array(out["ids"], pa.list_(pa.int32()))
+                    cols["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(cols)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)

@@ -35,19 +35,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, key: str = "doc_
         from .tokens import Encoder
 
         encoder, file, n, start = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0, 0
-        end = [] if end_id is None else [end_id]
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                ids = [np.append(x, np.array(end, x.dtype)) for x in encoder.encode(part.column(1).to_pylist())]
-                sizes = np.array([len(x) for x in ids], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
-                values = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
+                values, offsets = encoder.encode_flat(part.column(1).to_pylist(), end_id)
+                sizes = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.full(len(ids), file, np.int32)), pa.array(np.arange(n, n + len(ids))), pa.array(start + offsets[:-1]), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))],
+                    [part.column(0), pa.array(np.full(len(sizes), file, np.int32)), pa.array(np.arange(n, n + len(sizes))), pa.array(start + offsets[:-1]), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))],
                     names=["doc_id", "file", "ordinal", "local_start", "n_tokens", "ids"],
                 )
-                n, start = n + len(ids), start + int(offsets[-1])
+                n, start = n + len(sizes), start + int(offsets[-1])
 
     ordered = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(files or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     options = {
