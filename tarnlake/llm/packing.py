@@ -5,8 +5,8 @@ are known to the packer by their length alone: a histogram of at most ``capacity
 configuration is a multiset of lengths that fits a sequence. The linear program - as few configurations as cover the
 histogram - is solved by multiplicative weights: each length has a dual price, the dearest configuration at these prices
 (a knapsack, by dynamic programming) is bought as often as its scarcest length allows, and the prices of what was bought
-fall. The solution is rounded down, the rest is packed best-fit decreasing
-(or by tightest fit), a plan of best-fit decreasing alone replaces it where that is shorter, and sequences are numbered. Pieces
+fall. The solution is rounded to whole times, the program of what is left is solved and rounded next, and so on; the last few
+hundredths of the tokens are packed best-fit decreasing or by tightest fit, and sequences are numbered. Pieces
 take the places of their length by rank, which is counted in salted groups, so no length gathers in one task.
 """
 
@@ -91,15 +91,31 @@ def _configuration(first: int, took: np.ndarray, sizes: np.ndarray, counts: np.n
     return tuple(sorted((k, min(n, int(counts[k]))) for k, n in use.items()))
 
 
+def _first_prices(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """Prices under which no sequence holds more than 1, of those tried the ones whose total is highest, and that total.
+
+    Tried are a length's share of a sequence, and the same with lengths under e worth nothing and lengths that leave less
+    than e worth a sequence each, for e up to half of it. Worthless lengths get a trifle, so that they fill gaps.
+    """
+    best, total = sizes / capacity, float(counts @ sizes) / capacity
+    halves = sizes[2 * sizes <= capacity]
+    for e in halves[np.unique(np.linspace(0, len(halves) - 1, 64).astype(int))] if len(halves) else []:
+        prices = np.where(sizes > capacity - e, 1.0, np.where(sizes < e, 0.0, sizes / capacity))
+        if float(counts @ prices) > total + 1e-9:
+            best, total = prices, float(counts @ prices)
+    return np.maximum(best, 1e-4 * sizes / capacity), total
+
+
 def relax(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, rate: float, near: float = 0.002, each: int = 256) -> tuple[dict, float]:
     """Multiplicative weights for the configuration program: {configuration: times}, and the dual's bound from below.
 
-    A round prices all sizes, solves one knapsack, and buys from it, for each size that a near-dearest configuration
+    The first prices are those of _first_prices. A round prices all sizes, solves one knapsack, and buys from it, for each size that a near-dearest configuration
     holds, that configuration - as often as its scarcest size allows - until each size is bought once.
     """
-    logs, covered, bought, bound = np.zeros(len(sizes)), np.zeros(len(sizes)), {}, 0.0
+    start, bound = _first_prices(sizes, counts, capacity)
+    logs, covered, bought = np.zeros(len(sizes)), np.zeros(len(sizes)), {}
     for _ in range(rounds):
-        prices = np.exp(logs - logs.max()) * sizes
+        prices = np.exp(logs - logs.max()) * start
         best, took = knapsack(sizes, prices, capacity)
         bound = max(bound, float(counts @ prices) / best[capacity])
         share, value = np.zeros(len(sizes)), prices + best[capacity - sizes]
@@ -117,36 +133,56 @@ def relax(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, rat
         logs -= rate * share
         if sum(bought.values()) <= 1.0005 * bound * covered.min():
             break
-    scale = max(1e-12, float(covered.mean()))
+    scale = float(covered @ (counts * sizes)) / int(counts @ sizes)  # what is bought then holds as many tokens as there are
     return {use: times / scale for use, times in bought.items()}, bound
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 40, rate: float = 0.3) -> list[tuple[int, list[tuple[int, int]]]]:
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 12, rate: float = 0.3, rest: float = 0.01) -> list[tuple[int, list[tuple[int, int]]]]:
     """[(times, [(size, copies)])] that together hold each size exactly as often as the histogram has it.
 
-    The relaxed program's configurations are rounded down and the rest is packed best-fit decreasing; where that misses the
-    bound from below, tightest fit is tried for the rest. Best-fit decreasing of all is worked out too, and the shortest
-    plan is returned.
+    The relaxed program is solved and rounded: its configurations, those of fewest pieces first, are taken as often as they were
+    bought, once at least, as long as the lengths that are left allow it and they waste no more than the program's bound
+    does on average. The program of what is left is solved next, until `rest` of all tokens remain or little can be taken.
+    The last pieces - what was left after the solution from which this takes fewest sequences, of those that leave a tenth of
+    the tokens at most - are packed best-fit decreasing, or by tightest fit where that takes fewer.
     """
+    chosen, stops, sizes = rounded(histogram, capacity, rounds, rate, rest)
+    plans = [chosen[:n] + _best_fit(sizes, left, capacity) for n, left in stops]
+    best = min(plans, key=lambda p: sum(n for n, _ in p), default=[])
+    if stops and sum(n for n, _ in best) > -(-sum(k * v for k, v in histogram.items()) // capacity):
+        n, left = stops[-1]
+        best = min(best, chosen[:n] + _tightest_fit(sizes, left, capacity), key=lambda p: sum(n for n, _ in p))
+    return best
+
+
+def rounded(histogram: dict[int, int], capacity: int, rounds: int = 12, rate: float = 0.3, rest: float = 0.01) -> tuple[list, list[tuple[int, np.ndarray]], np.ndarray]:
+    """The rounded configurations of solve; (how many of them, counts then left) of each stop near the end; the sizes of these counts."""
     sizes = np.array(sorted(k for k, v in histogram.items() if v > 0), np.int64)
     if not len(sizes):
-        return []
+        return [], [], sizes
     if sizes[0] < 1 or sizes[-1] > capacity:
         raise ValueError("lengths must be from 1 to the capacity")
-    counts = np.array([histogram[int(k)] for k in sizes], np.int64)
-    bought, bound = relax(sizes, counts, capacity, rounds, rate)
-    left, chosen = counts.copy(), []
-    for use, times in sorted(bought.items(), key=lambda x: (-x[1], x[0])):
-        n = min(int(times), *(int(left[k] // m) for k, m in use))
-        if n > 0:
-            chosen.append((n, [(int(sizes[k]), m) for k, m in reversed(use)]))
-            for k, m in use:
-                left[k] -= n * m
-    least = max(-(-int(counts @ sizes) // capacity), int(np.ceil(bound - 1e-6)))
-    plans = [chosen + _best_fit(sizes, left, capacity), _best_fit(sizes, counts, capacity)]
-    if min(sum(n for n, _ in p) for p in plans) > least:  # the bound is not met: fill as tightly as can be
-        plans.append(chosen + _tightest_fit(sizes, left, capacity))
-    return min(plans, key=lambda p: sum(n for n, _ in p))
+    left = np.array([histogram[int(k)] for k in sizes], np.int64)
+    total, chosen, stops = int(left @ sizes), [], []
+    while int(left @ sizes) > rest * total:
+        live = np.flatnonzero(left)
+        own, counts = sizes[live], left[live].copy()
+        bought, bound = relax(own, counts, capacity, rounds, rate)
+        waste = {use: capacity - sum(int(own[k]) * m for k, m in use) for use in bought}
+        allowed = max(int(capacity - float(counts @ own) / bound), min(waste.values()))
+        for use, times in sorted(bought.items(), key=lambda x: (sum(m for _, m in x[0]), -x[1], x[0])):
+            n = min(max(1, int(times)), *(int(counts[k] // m) for k, m in use)) if waste[use] <= allowed else 0
+            if n > 0:
+                chosen.append((n, [(int(own[k]), m) for k, m in reversed(use)]))
+                for k, m in use:
+                    counts[k] -= n * m
+        taken = int((left[live] - counts) @ own)
+        left[live] = counts
+        if int(left @ sizes) <= 0.1 * total:
+            stops.append((len(chosen), left.copy()))
+        if taken <= (0.003 * total if stops else 0):
+            break
+    return chosen, stops or [(len(chosen), left)], sizes
 
 
 def _tightest_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -243,7 +279,7 @@ def places(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarra
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def pack(cut: DataFrame, capacity: int = 2048, rounds: int = 40) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = 2048, rounds: int = 12) -> DataFrame:
     """Adds sequence_id and offset to pieces(), which must be stored: its shards are counted before they are placed."""
     spark = cut.sparkSession
     made = cut.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n"))
@@ -272,6 +308,6 @@ def pack(cut: DataFrame, capacity: int = 2048, rounds: int = 40) -> DataFrame:
     return ranked.mapInArrow(placed, ", ".join(f"{n} {t}" for n, t in ranked.dtypes if n != "rank") + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, rounds: int = 40, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, rounds: int = 12, **options) -> DataFrame:
     """Pieces of all documents with their places."""
     return pack(store(pieces(docs, tokenizer, capacity=capacity, **options), "pieces"), capacity, rounds)
