@@ -40,6 +40,31 @@ def key_classes(df: DataFrame, keys: dict[str, Sequence[str]], ident: str) -> Da
     return out
 
 
+def similar_sets(left: DataFrame, left_id: str, left_set: str, right: DataFrame, right_id: str, right_set: str, *, least: float) -> DataFrame:
+    """(left_id, right_id, similarity): the best Jaccard similarity of the token arrays of two ids, where it is `least` or more.
+
+    Arrays hold distinct tokens; empty ones meet nothing. Equal arrays are compared once. Tokens are put in one order,
+    long words first as the rare ones; sets as near as `least` share one within the first n - ceil(least * n) + 1 of each, and
+    where it stands bounds their overlap. Only ids and places go through the join; survivors are compared on their full sets.
+    """
+
+    def held(df: DataFrame, ident: str, tokens: str, s: str) -> tuple[DataFrame, DataFrame]:
+        rows = df.select(F.col(ident).alias(s + "_id"), F.col(tokens).alias("set")).where(F.size("set") > 0).withColumn(s + "_key", F.sha2(F.array_join("set", "\x1f"), 256)).dropDuplicates([s + "_id", s + "_key"])
+        return rows.select(s + "_id", s + "_key"), rows.select(s + "_key", F.col("set").alias(s + "_set")).dropDuplicates([s + "_key"])
+
+    def marks(sets: DataFrame, s: str) -> DataFrame:
+        n = F.size(s + "_set")
+        order = F.transform(F.sort_array(F.transform(s + "_set", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+        return sets.select(s + "_key", n.alias(s + "_n"), F.posexplode(F.slice(order, 1, n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1)).alias(s + "_at", "token"))
+
+    (l_ids, l_sets), (r_ids, r_sets) = held(left, left_id, left_set, "l"), held(right, right_id, right_set, "r")
+    n, m = F.col("l_n"), F.col("r_n")
+    near = (F.least(n, m) >= least * F.greatest(n, m) - 1e-9) & (F.least(n - F.col("l_at"), m - F.col("r_at")) >= (n + m) * (least / (1 + least)) - 1e-9)
+    pairs = marks(l_sets, "l").join(marks(r_sets, "r"), "token").where(near).select("l_key", "r_key").distinct()
+    scored = pairs.join(l_sets, "l_key").join(r_sets, "r_key").select("l_key", "r_key", T.similarity(F.col("l_set"), F.col("r_set")).alias("similarity")).where(F.col("similarity") >= least)
+    return scored.join(l_ids, "l_key").join(r_ids, "r_key").groupBy(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id)).agg(F.max("similarity").alias("similarity"))
+
+
 def token_key(c: Column) -> Column:
     """The identity tokens as one key; null if there are none."""
     t = T.identity_tokens(c)

@@ -151,19 +151,40 @@ def sort_modes(t):
     return top.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("position"))
 
 
-@query("""WITH r AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN '' ELSE 'M' || (page_id % 200) END AS master_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS scheme_name, CASE page_id % 7 WHEN 0 THEN 'APPLICATION_CALL' WHEN 1 THEN 'OTHER' ELSE 'GRANT' END AS record_kind,
-    CASE WHEN page_id % 13 = 0 THEN '' ELSE 'dept' END AS authority, CASE WHEN page_id % 17 = 0 THEN url || '/annual report' ELSE url END AS url FROM pages),
-  s AS (SELECT *, CASE WHEN contains(lower(scheme_name || ' ' || url), 'annual report') THEN 'EVIDENCE_SIGNAL_ANNUAL_REPORT' ELSE '' END AS signal FROM r),
-  x AS (SELECT *, CASE WHEN master_id = '' THEN 'MISSING_MASTER_ID' WHEN record_kind = 'APPLICATION_CALL' THEN 'APPLICATION_CALL_SEPARATE' WHEN record_kind = 'OTHER' THEN 'INELIGIBLE_RECORD_KIND_OTHER' WHEN signal <> '' THEN signal WHEN authority = '' THEN 'AUTHORITY_OR_IMPLEMENTING_ORGANISATION_MISSING' ELSE 'MAIN_SCHEME_RECORD' END AS r0 FROM s),
-  y AS (SELECT *, CASE WHEN r0 = 'MAIN_SCHEME_RECORD' AND row_number() OVER (PARTITION BY master_id, r0 ORDER BY page_id) > 1 THEN 'DUPLICATE_MASTER_ID' ELSE r0 END AS reason FROM x)
-  SELECT page_id, reason, CASE WHEN reason = 'MAIN_SCHEME_RECORD' THEN 'MAIN' WHEN signal <> '' THEN 'EVIDENCE' WHEN record_kind = 'APPLICATION_CALL' THEN 'CALL' ELSE 'EXCLUDED' END AS population FROM y""")
+def _listed(values) -> str:
+    return "('" + "', '".join(values) + "')"
+
+
+_RECORDS_SQL = """SELECT page_id, CASE WHEN page_id % 11 = 0 THEN '' ELSE 'M' || (page_id % 200) END AS master_id,
+    CASE page_id % 23 WHEN 0 THEN '' WHEN 1 THEN 'Schemes' WHEN 2 THEN 'plan.PDF' WHEN 3 THEN 'Growth%20Aid' WHEN 4 THEN '2021 sector report' WHEN 5 THEN 'site directory' WHEN 6 THEN 'Sitemap' ELSE 'Aid of ' || regexp_extract(url, '^https?://([^/?#]*)', 1) END AS scheme_name,
+    CASE page_id % 7 WHEN 0 THEN 'APPLICATION_CALL' WHEN 1 THEN 'OTHER' WHEN 2 THEN '' WHEN 3 THEN 'challenge' WHEN 4 THEN 'REPORT' ELSE 'GRANT' END AS record_kind, CASE WHEN page_id % 29 = 0 THEN 'FUND' ELSE '' END AS normalized_record_kind,
+    CASE WHEN page_id % 13 = 0 THEN '' ELSE 'dept' END AS ministry, CASE WHEN page_id % 39 = 0 THEN 'src' ELSE '' END AS source,
+    CASE WHEN page_id % 17 = 0 THEN url || '/annual report' WHEN page_id % 19 = 0 THEN 'https://x.org/aid.PDF?v=1' WHEN page_id % 31 = 0 THEN '' ELSE url END AS official_page_url,
+    CASE WHEN page_id % 5 = 0 THEN ' ; ' ELSE 'money' END AS benefits, CASE WHEN page_id % 37 = 0 THEN 'rejected' WHEN page_id % 3 = 0 THEN 'NEEDS_REVIEW' ELSE '' END AS current_decision, CASE WHEN page_id % 8 = 0 THEN 'Historical list' ELSE '' END AS catalogue_section FROM pages"""
+_SIGNALS_SQL = " ".join(f"WHEN contains(x, '{s}') THEN 'EVIDENCE_SIGNAL_{s.upper().replace(' ', '_')}'" for s in populations.EVIDENCE_SIGNALS)
+
+
+@query(f"""WITH r AS ({_RECORDS_SQL}), k AS (SELECT *, coalesce(nullif(normalized_record_kind, ''), nullif(record_kind, ''), 'SCHEME_OR_PROGRAMME') AS kind, url_decode(official_page_url) AS u, url_decode(scheme_name) AS n FROM r),
+  f AS (SELECT *, lower(scheme_name || ' ' || u || ' ' || kind) AS x, lower(regexp_replace(regexp_replace(u, '^[a-z]+://[^/?#]*', ''), '[?#].*$', '')) LIKE '%.pdf' AS pdf, ministry <> '' AS authority, trim(replace(benefits, ';', '')) <> '' AS core,
+    CASE WHEN trim(n) = '' THEN 'MISSING_SCHEME_NAME' WHEN lower(trim(n)) IN {_listed(populations.GENERIC_NAMES)} THEN 'GENERIC_SCHEME_NAME' WHEN regexp_matches(lower(n), '[.](pdf|docx?|xlsx?)$') OR contains(scheme_name, '%') OR regexp_matches(lower(n), '^[0-9]{{4}} +[^|]+(report|ecosystem|landscape|trendbook|whitepaper)') THEN 'RAW_OR_URL_ENCODED_FILENAME_AS_NAME' WHEN contains(lower(n), 'sitemap') OR contains(lower(n), 'directory') THEN 'SITEMAP_OR_DIRECTORY_TITLE' ELSE '' END AS problem FROM k),
+  e AS (SELECT *, CASE WHEN pdf AND regexp_matches(lower(scheme_name), '{'|'.join(populations.DOCUMENT_WORDS)}') THEN 'PDF_EXCEPTION_DENIED_REPORT_OR_GUIDANCE' WHEN pdf AND problem <> '' THEN 'PDF_EXCEPTION_DENIED_FILENAME_OR_GENERIC_NAME' WHEN pdf AND NOT authority THEN 'PDF_EXCEPTION_DENIED_AUTHORITY_MISSING' WHEN pdf AND NOT core THEN 'PDF_EXCEPTION_DENIED_CORE_FIELDS_MISSING'
+    WHEN upper(kind) IN {_listed(populations.EVIDENCE_KINDS)} THEN 'EVIDENCE_ONLY_KIND_' || upper(kind) WHEN pdf THEN 'PDF_REQUIRES_FORMAL_EXCEPTION' {_SIGNALS_SQL} ELSE '' END AS evidence FROM f),
+  o AS (SELECT *, CASE WHEN upper(current_decision) = 'REJECTED' THEN 'REJECTED_RECORD' WHEN upper(kind) IN {_listed(populations.CALL_KINDS)} THEN 'APPLICATION_CALL_SEPARATE' WHEN upper(kind) NOT IN {_listed(populations.MAIN_KINDS)} THEN 'INELIGIBLE_RECORD_KIND_' || upper(kind) WHEN problem <> '' THEN problem WHEN evidence <> '' THEN evidence WHEN NOT authority AND source = '' THEN 'AUTHORITY_OR_IMPLEMENTING_ORGANISATION_MISSING' WHEN official_page_url = '' THEN 'PRIMARY_OFFICIAL_URL_MISSING' ELSE 'MAIN_SCHEME_RECORD' END AS own FROM e),
+  y AS (SELECT *, CASE WHEN master_id = '' THEN 'MISSING_MASTER_ID' WHEN page_id > min(page_id) FILTER (WHERE own = 'MAIN_SCHEME_RECORD') OVER (PARTITION BY master_id) THEN 'DUPLICATE_MASTER_ID' ELSE own END AS reason FROM o)
+  SELECT page_id, reason, CASE WHEN reason = 'MAIN_SCHEME_RECORD' THEN 'MAIN' WHEN evidence <> '' OR problem IN ('RAW_OR_URL_ENCODED_FILENAME_AS_NAME', 'GENERIC_SCHEME_NAME', 'SITEMAP_OR_DIRECTORY_TITLE') THEN 'EVIDENCE' WHEN upper(kind) IN {_listed(populations.CALL_KINDS)} AND upper(current_decision) <> 'REJECTED' THEN 'CALL' ELSE 'EXCLUDED' END AS population,
+    reason = 'MAIN_SCHEME_RECORD' AND catalogue_section = 'Historical list' AS is_archived, reason = 'MAIN_SCHEME_RECORD' AND current_decision = 'NEEDS_REVIEW' AS needs_verification FROM y""")
 def population_split(t):
-    k = F.col("page_id")
+    k, url = F.col("page_id"), F.col("url")
+    host = F.regexp_extract("url", "^https?://([^/?#]*)", 1)
+    names = rules.cascade([(k % 23 == i, n) for i, n in enumerate(["", "Schemes", "plan.PDF", "Growth%20Aid", "2021 sector report", "site directory", "Sitemap"])], "*")
     own = t("pages").select(
-        "page_id", F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("M"), (k % 200).cast("string"))).alias("master_id"), F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("scheme_name"),
-        F.when(k % 7 == 0, "APPLICATION_CALL").when(k % 7 == 1, "OTHER").otherwise("GRANT").alias("record_kind"), F.when(k % 13 == 0, "").otherwise("dept").alias("authority"), F.when(k % 17 == 0, F.concat("url", F.lit("/annual report"))).otherwise(F.col("url")).alias("official_page_url"),
+        "page_id", F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("M"), (k % 200).cast("string"))).alias("master_id"), F.when(names == "*", F.concat(F.lit("Aid of "), host)).otherwise(names).alias("scheme_name"),
+        rules.cascade([(k % 7 == i, n) for i, n in enumerate(["APPLICATION_CALL", "OTHER", "", "challenge", "REPORT"])], "GRANT").alias("record_kind"), F.when(k % 29 == 0, "FUND").otherwise("").alias("normalized_record_kind"),
+        F.when(k % 13 == 0, "").otherwise("dept").alias("ministry"), F.when(k % 39 == 0, "src").otherwise("").alias("source"),
+        F.when(k % 17 == 0, F.concat(url, F.lit("/annual report"))).when(k % 19 == 0, "https://x.org/aid.PDF?v=1").when(k % 31 == 0, "").otherwise(url).alias("official_page_url"),
+        F.when(k % 5 == 0, " ; ").otherwise("money").alias("benefits"), F.when(k % 37 == 0, "rejected").when(k % 3 == 0, "NEEDS_REVIEW").otherwise("").alias("current_decision"), F.when(k % 8 == 0, "Historical list").otherwise("").alias("catalogue_section"),
     )
-    return populations.split(own, "page_id").select("page_id", "reason", "population")
+    return populations.split(own, "page_id").select("page_id", "reason", "population", "is_archived", "needs_verification")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'GRANT' WHEN p_partkey % 6 = 1 THEN 'FUND' WHEN p_partkey % 6 = 2 THEN 'CREDIT_OR_LOAN' WHEN p_partkey % 6 = 3 THEN 'OTHER_PROGRAMME_SUPPORT' WHEN p_partkey % 6 = 4 THEN 'SUPPORT_TYPE_NOT_SPECIFIED' ELSE 'PROCUREMENT_OR_MARKET_ACCESS' END AS support_type FROM part""")
@@ -199,9 +220,9 @@ def _tokens_sql(c: str) -> str:
     return f"list_sort(list_distinct([CASE WHEN ends_with(w, 's') AND length(w) > 4 THEN w[:-2] ELSE w END FOR w IN string_split_regex(lower(trim({c})), '[^a-z0-9]+') IF w <> '' AND w NOT IN {_IGNORED_SQL}]))"
 
 
-@query(f"SELECT doc_id, array_to_string({_tokens_sql('split_part(text, chr(10), 1)')}, ' ') AS tokens FROM documents")
+@query(f"SELECT p_partkey, array_to_string({_tokens_sql('p_name')}, ' ') AS tokens FROM part")
 def identity_tokens(t):
-    return t("documents").select("doc_id", F.array_join(T.identity_tokens(F.split_part("text", F.lit("\n"), F.lit(1))), " ").alias("tokens"))
+    return t("part").select("p_partkey", F.array_join(T.identity_tokens(F.col("p_name")), " ").alias("tokens"))
 
 
 @query(f"SELECT doc_id, array_to_string({_tokens_sql('text')}, ' ') AS tokens FROM documents")
@@ -209,17 +230,14 @@ def document_tokens(t):
     return t("documents").select("doc_id", F.array_join(T.identity_tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query(f"""WITH a AS (SELECT item_id, {_tokens_sql('text')} AS ta FROM benchmark), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT DISTINCT doc_id, {_tokens_sql('line')} AS tb FROM l WHERE length(line) > 40),
-  ax AS (SELECT item_id, ta, unnest(ta) AS w FROM a WHERE len(ta) >= 10), bx AS (SELECT doc_id, tb, unnest(tb) AS w FROM b WHERE len(tb) >= 10),
+@query(f"""WITH a AS (SELECT item_id, {_tokens_sql('text')} AS ta FROM benchmark), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT DISTINCT doc_id, {_tokens_sql('line')} AS tb FROM l),
+  ax AS (SELECT item_id, ta, unnest(ta) AS w FROM a), bx AS (SELECT doc_id, tb, unnest(tb) AS w FROM b),
   p AS (SELECT item_id, doc_id, ta, tb, count(*) AS k FROM ax JOIN bx USING (w) GROUP BY ALL)
   SELECT item_id, doc_id, max(k / (len(ta) + len(tb) - k)) AS similarity FROM p WHERE k / (len(ta) + len(tb) - k) >= 0.5 GROUP BY 1, 2""")
 def token_similarity(t):
-    a = t("benchmark").select("item_id", T.identity_tokens(F.col("text")).alias("ta")).where(F.size("ta") >= 10)
-    b = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") > 40).select("doc_id", T.identity_tokens(F.col("line")).alias("tb")).where(F.size("tb") >= 10).distinct()
-    # a pair meets at each common token: the count is the intersection, and pairs without one are never made
-    met = a.withColumn("w", F.explode("ta")).join(b.withColumn("w", F.explode("tb")), "w").groupBy("item_id", "doc_id", "tb", F.size("ta").alias("na")).agg(F.count(F.lit(1)).alias("k"))
-    s = F.col("k") / (F.col("na") + F.size("tb") - F.col("k"))
-    return met.where(s >= 0.5).groupBy("item_id", "doc_id").agg(F.max(s).alias("similarity"))
+    a = t("benchmark").select("item_id", T.identity_tokens(F.col("text")).alias("ta"))
+    b = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", T.identity_tokens(F.col("line")).alias("tb"))
+    return match.similar_sets(a, "item_id", "ta", b, "doc_id", "tb", least=0.5)
 
 
 @query(r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+', '/', 'g') AS path, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages),
@@ -443,11 +461,11 @@ def parent_resolve(t):
     return match.resolve_alias(t("part"), F.col("p_name"), ALIASES).select("p_partkey", "parent_id")
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate::DATE, '%Y-%m-%d') || CASE WHEN o_orderkey % 2 = 0 THEN ',' || strftime(o_orderdate::DATE + 10, '%Y-%m-%d') ELSE '' END AS found FROM orders WHERE year(o_orderdate) >= 2000 AND year(o_orderdate::DATE + 10) >= 2000")
+@query("""SELECT o_orderkey, array_to_string([strftime(d, '%Y-%m-%d') FOR d IN list_sort([o_orderdate::DATE, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE + 10 END]) IF d IS NOT NULL AND year(d) >= 2000], ',') AS found FROM orders""")
 def date_extract(t):
     d, e = F.col("o_orderdate").cast("date"), F.date_add(F.col("o_orderdate").cast("date"), 10)
     text = F.concat(F.lit("Opens "), F.date_format(d, "d"), F.lit("th "), F.date_format(d, "MMMM"), F.lit(", "), F.date_format(d, "yyyy"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" until "), F.date_format(e, "dd/MM/yyyy"))).otherwise(F.lit("")))
-    return t("orders").where((F.year(d) >= 2000) & (F.year(e) >= 2000)).select("o_orderkey", F.array_join(F.transform(dates.extract(text), lambda x: x.cast("string")), ",").alias("found"))
+    return t("orders").select("o_orderkey", F.array_join(F.transform(dates.extract(text), lambda x: x.cast("string")), ",").alias("found"))
 
 
 @query("SELECT conv_id, role, count(*) AS n, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns FROM conversations GROUP BY 1, 2")
@@ -505,9 +523,9 @@ def window_counts(t):
 @query("""WITH d AS (SELECT doc_id, source, lang, CASE WHEN l.doc_id IS NULL THEN 'UNVERIFIED' WHEN toxic = 1 THEN 'QUARANTINE' WHEN n_chars < 200 THEN 'REVIEW' ELSE 'PUBLISH' END AS route, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents LEFT JOIN labels l USING (doc_id))
   SELECT route2 AS route, lang, count(*) AS n FROM (SELECT lang, CASE WHEN k > 1 THEN 'DUPLICATE' ELSE route END AS route2 FROM d) GROUP BY 1, 2""")
 def governed_routes(t):
-    from pyspark.sql import Window
-
     own = t("documents").withColumn("digest", F.sha2("text", 256)).select("doc_id", "lang", "n_chars", "digest").join(t("labels").withColumn("known", F.lit(True)), "doc_id", "left")
-    nth = F.row_number().over(Window.partitionBy("digest").orderBy("doc_id"))
-    route = rules.cascade([(F.col("k") > 1, "DUPLICATE"), (F.col("known").isNull(), "UNVERIFIED"), (F.col("toxic") == 1, "QUARANTINE"), (F.col("n_chars") < 200, "REVIEW")], "PUBLISH")
-    return own.withColumn("k", nth).groupBy(route.alias("route"), "lang").agg(F.count(F.lit(1)).alias("n"))
+    # the first of equal texts by a partial aggregate: copies of one text never meet in one task
+    firsts = own.groupBy(F.col("digest").alias("same")).agg(F.min("doc_id").alias("first"))
+    own = own.join(firsts, F.col("digest").eqNullSafe(F.col("same")))
+    route = rules.cascade([(F.col("doc_id") != F.col("first"), "DUPLICATE"), (F.col("known").isNull(), "UNVERIFIED"), (F.col("toxic") == 1, "QUARANTINE"), (F.col("n_chars") < 200, "REVIEW")], "PUBLISH")
+    return own.groupBy(route.alias("route"), "lang").agg(F.count(F.lit(1)).alias("n"))

@@ -61,7 +61,7 @@ def review_decision(t):
 
 @query("SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 2000 THEN year(o_orderdate)::INTEGER ELSE -1 END AS found FROM orders")
 def year_in_text(t):
-    text = F.concat(F.lit("Call "), F.col("o_orderkey").cast("string"), F.lit("x of "), F.date_format("o_orderdate", "yyyy"), F.lit("-closed"))
+    text = F.concat(F.lit("Call "), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), F.lit("x of "), F.date_format("o_orderdate", "yyyy"), F.lit("-closed"))
     return t("orders").select("o_orderkey", F.coalesce(classify.year_in(text), F.lit(-1)).alias("found"))
 
 
@@ -141,12 +141,12 @@ def composition(t):
     return governance.shares(t("documents"), "lang")
 
 
-@query("""SELECT DISTINCT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a JOIN part b ON (a.p_name = b.p_name OR (a.p_brand = b.p_brand AND a.p_size = b.p_size)) AND a.p_partkey < b.p_partkey WHERE a.p_partkey % 10 = 0 AND b.p_partkey % 10 = 1""")
+@query("""SELECT DISTINCT class_id AS left_id, p_partkey AS right_id FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS class_id FROM part WHERE p_name IS NOT NULL
+  UNION ALL SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_size) FROM part WHERE p_brand IS NOT NULL AND p_size IS NOT NULL) WHERE class_id <> p_partkey""")
 def duplicate_candidates(t):
-    p = t("part")
-    left, right = p.where("p_partkey % 10 = 0").withColumnRenamed("p_partkey", "left_id"), p.where("p_partkey % 10 = 1").withColumnRenamed("p_partkey", "right_id")
-    both = F.concat_ws("|", "p_brand", F.col("p_size").cast("string"))
-    return match.union_match(left, right, [(F.col("p_name"), F.col("p_name")), (both, both)], "left_id", "right_id").where("left_id < right_id")
+    """Pairs of each class's first part with its other members, for all parts; duplicate_classes tells the classes by key."""
+    own = match.key_classes(t("part"), {"name": ["p_name"], "brand and size": ["p_brand", "p_size"]}, "p_partkey")
+    return own.where("class_id <> p_partkey").select(F.col("class_id").alias("left_id"), F.col("p_partkey").alias("right_id")).distinct()
 
 
 @query("""SELECT 'name' AS "key", p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS class_id, count(*) OVER (PARTITION BY p_name) AS members FROM part WHERE p_name IS NOT NULL QUALIFY members > 1

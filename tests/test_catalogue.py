@@ -56,6 +56,9 @@ def test_fuzzy_match_keeps_the_best(spark):
     for r in got.itertuples():
         others = [SequenceMatcher(None, by_id[r.left_id].lower(), n.lower()).ratio() for n, i in names.items() if i != r.left_id and set(n.lower().split()) & set(by_id[r.left_id].lower().split())]
         assert r.ratio == pytest.approx(max(others)) and r.ratio >= 0.6
+    tokens = {n: {w[:-1] if w.endswith("s") and len(w) > 4 else w for w in re.split("[^a-z0-9]+", n.lower())} - {"", *IGNORED_TOKENS} for n in names}
+    found = {a for a in names for b in names if a != b and tokens[a] & tokens[b] and SequenceMatcher(None, a.lower(), b.lower()).ratio() >= 0.6}
+    assert {by_id[r.left_id] for r in got.itertuples()} == found
 
 
 def test_manifest_is_stable(spark):

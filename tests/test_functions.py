@@ -25,6 +25,43 @@ def test_funding_buckets(spark):
     assert values(spark, money.bucket, [None, 1_000_000, 1_000_001, 500_000_001], "long") == ["not_specified", "up_to_10_lakh", "10_lakh_to_1_crore", "above_50_crore"]
 
 
+def test_dates_next_to_other_words(spark):
+    d = dt.date
+    texts = ["due 7 sept 2021.", "10 - march 2024", "march2024", "5 March2024", "x10 march 2024", "1 / 2 / 2024", "10.1.2.2024", "31 february 2024", "12 may 1999", None, "", "may 4th , 2030; 3/4/2031-4/5/2032"]
+    found = values(spark, dates.extract, texts)
+    assert found == [[d(2021, 9, 7)], [], [], [d(2024, 3, 5)], [], [], [d(2024, 2, 1)], [], [], [], [], [d(2030, 5, 4), d(2031, 4, 3), d(2032, 5, 4)]]
+
+
+def test_union_match_meets_by_any_key(spark):
+    left = spark.createDataFrame([(1, "a", 5), (2, "b", 6), (3, None, None)], "l int, n string, k int")
+    right = spark.createDataFrame([(7, "a", 6), (8, "c", 5), (9, None, None)], "r int, n string, k int")
+    got = match.union_match(left, right, [(F.col("n"), F.col("n")), (F.col("k"), F.col("k"))], "l", "r").collect()
+    assert {tuple(x) for x in got} == {(1, 7), (1, 8), (2, 7)}
+
+
+def test_similar_sets_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    sets = [sorted(set(rng.choices("abcdefghij", k=rng.randint(0, 9)))) for _ in range(60)]
+    rows = [(i, x) for i, x in enumerate(sets)] + [(0, sets[1])]
+    a, b = rows[:25] + rows[-1:], rows[25:-1] + [(99, None)]
+    got = {(r.i, r.j): r.similarity for r in match.similar_sets(spark.createDataFrame(a, "i int, x array<string>"), "i", "x", spark.createDataFrame(b, "j int, y array<string>"), "j", "y", least=0.5).collect()}
+    wanted = {}
+    for i, x in a:
+        for j, y in b:
+            if x and y and (s := len(set(x) & set(y)) / len(set(x) | set(y))) >= 0.5:
+                wanted[i, j] = max(s, wanted.get((i, j), 0))
+    assert wanted and got == pytest.approx(wanted)
+
+
+def test_population_split_tells_repeats_after_the_first_eligible(spark):
+    rows = [(1, "M1", "Aid", "GRANT", "rejected", "dept", "https://a/b"), (2, "M1", "Aid", "GRANT", "", "dept", "https://a/b"), (3, "M1", "", "OTHER", "", "", ""), (4, " ", "Aid", "GRANT", "", "dept", "https://a/b"), (5, "M2", "Aid", None, None, None, "https://a/x.pdf#p"), (6, "M3", "Call", "CHALLENGE", "", "dept", "https://a/b")]
+    df = spark.createDataFrame(rows, "i int, master_id string, scheme_name string, record_kind string, current_decision string, ministry string, official_page_url string")
+    got = {r.i: (r.reason, r.population) for r in populations.split(df, "i").collect()}
+    assert got == {1: ("REJECTED_RECORD", "EXCLUDED"), 2: ("MAIN_SCHEME_RECORD", "MAIN"), 3: ("DUPLICATE_MASTER_ID", "EXCLUDED"), 4: ("MISSING_MASTER_ID", "EXCLUDED"), 5: ("PDF_EXCEPTION_DENIED_AUTHORITY_MISSING", "EVIDENCE"), 6: ("APPLICATION_CALL_SEPARATE", "CALL")}
+
+
 def test_blanks_and_white_space(spark):
     assert values(spark, T.blank_to_null, ["", " ", "None", "nan", "NULL", "x "]) == [None] * 5 + ["x"]
     assert values(spark, T.norm, [None, "a  b\n", "　"]) == ["", "a b", ""]
