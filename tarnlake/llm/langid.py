@@ -2,15 +2,19 @@
 
 For each language a variable-order byte context tree is grown from a bounded sample of labelled texts: how often each
 byte followed each context of up to ``order`` bytes. A byte's probability in the longest context that the tree knows is
-its count there over the count of the context plus its distinct bytes; the rest is the escape probability, which hands
-over to the context shorter by a byte, down to all bytes alike (method C). Statistics are frozen after training, so a
-text's code length is exact, and the same on any machine. The language of the least code length wins.
+its count there over the count of the context plus its distinct bytes (method C). A byte that never followed the context
+escapes, with what that leaves, to the context shorter by a byte, where the bytes that did follow are excluded: the
+escape probability is shared among the others in proportion to their probability there, down to all bytes alike. So
+each context's probabilities sum to 1. Statistics are frozen after training, so a text's code length is exact, and the
+same on any machine. The language of the least code length wins.
 
 The languages' trees are merged into one whose nodes hold, for each next byte, the code lengths in all languages;
 a text is walked with array operations, position by position backwards through the contexts, in bounded chunks.
 
 Null texts and those without a letter are ``und``, with score 0. Ties go to the first language by name. Training rows
-without text or language are left out; with nothing to learn from, every text is ``und``.
+without text or language are left out, repeated ones count once; with nothing to learn from, as of an empty table, every
+text is ``und``. Repeated rows are judged each. Of other columns only the key, the text and, for learning, the language are
+read, whatever the names of the rest.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _LETTER = regex.compile(r"\p{L}")
@@ -68,8 +72,22 @@ class Model:
         return [self.langs[b] if h else "und" for b, h in zip(best, has, strict=True)], [float(s) if h else 0.0 for s, h in zip(score, has, strict=True)]
 
 
+def _escaped(shorter: np.ndarray, seen: np.ndarray, counts: np.ndarray, left: float) -> np.ndarray:
+    """A context's probabilities, from those of the shorter one, in which all bytes but the seen ones have `left` together."""
+    out, total, kinds = shorter.copy(), counts.sum(), len(counts)
+    if left > 1e-12:
+        out *= kinds / (total + kinds) / left
+        out[seen] = counts / (total + kinds)
+    else:  # no byte is left to escape to
+        out[seen] = counts / total
+    return out
+
+
 def grow(samples: dict[str, list[bytes]], order: int = 4, least: int = 40) -> Model:
-    """A merged tree of the contexts of up to `order` bytes that some language's sample holds `least` times or more."""
+    """A merged tree of the contexts of up to `order` bytes that some language's sample holds often enough.
+
+    That is `least` times in the largest sample, and as much less in a smaller one as it is smaller, but twice.
+    """
     langs = sorted(samples)
     seen = np.zeros(256, bool)
     for texts in samples.values():
@@ -94,14 +112,13 @@ def grow(samples: dict[str, list[bytes]], order: int = 4, least: int = 40) -> Mo
             grams[d][x] = np.unique((context * wide + code)[real[x][d:][: len(code)]], return_counts=True)
     child = [np.full(wide, -1, np.int32)]
     bits0 = np.empty((wide, len(langs)))
-    even = 1.0 / max(256, wide)
+    even = 1.0 / 256
+    most = max((len(s) for s in data.values()), default=1)
+    enough = {x: max(2, least * len(s) / most) for x, s in data.items()}
     rows: list[np.ndarray] = []
     for j, x in enumerate(langs):
         codes, n = grams[0][x]
-        counts = np.zeros(wide)
-        counts[codes] = n
-        kinds = len(codes)
-        bits0[:, j] = (counts + kinds * even) / (counts.sum() + kinds)
+        bits0[:, j] = _escaped(np.full(wide, even), codes, n, 1 - len(codes) * even) if len(codes) else even
     rows.append(bits0)
     level = {0: 0}  # context code -> node
     for d in range(1, order + 1):
@@ -110,7 +127,7 @@ def grow(samples: dict[str, list[bytes]], order: int = 4, least: int = 40) -> Mo
             codes, n = grams[d][x]
             contexts, at = np.unique(codes // wide, return_index=True)
             sums = np.add.reduceat(n, at) if len(n) else n
-            for c, total in zip(contexts[sums >= least].tolist(), sums[sums >= least].tolist(), strict=True):
+            for c, total in zip(contexts[sums >= enough[x]].tolist(), sums[sums >= enough[x]].tolist(), strict=True):
                 totals.setdefault(c, np.zeros(len(langs)))[j] = total
         nodes: dict[int, int] = {}
         for c in sorted(totals):
@@ -128,10 +145,8 @@ def grow(samples: dict[str, list[bytes]], order: int = 4, least: int = 40) -> Mo
             for own, counts in zip(np.split(codes, cuts), np.split(n, cuts), strict=True):
                 c = int(own[0] // wide) if len(own) else -1
                 if c in nodes:
-                    row, kinds = rows[nodes[c]], len(own)
-                    p = row[:, j] * kinds
-                    p[own % wide] += counts
-                    row[:, j] = p / (counts.sum() + kinds)
+                    row, seen = rows[nodes[c]], own % wide
+                    row[:, j] = _escaped(row[:, j], seen, counts, 1 - row[seen, j].sum())
         level = nodes
     child.append(np.full(wide, -1, np.int32))
     children = np.stack(child)
@@ -139,18 +154,25 @@ def grow(samples: dict[str, list[bytes]], order: int = 4, least: int = 40) -> Mo
     return Model(langs, symbols, children, (-np.log2(np.stack(rows))).astype(np.float32), order)
 
 
-def fit(docs: DataFrame, *, per_language: int = 400, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 4, least: int = 40) -> Model:
-    """Learns from up to `per_language` whole texts of each language, those of the least hashes of their key."""
+def fit(docs: DataFrame, *, per_language: int = 400, language_bytes: int = 4 << 20, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 4, least: int = 40) -> Model:
+    """Learns from whole texts of each language, those of the least hashes of their key.
+
+    These are `per_language` texts at most, and none after `language_bytes` are reached, so that what the driver gets is bounded by
+    these two and the number of languages, but for the last text's length.
+    """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull())
     counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return grow({}, order, least)
     draw = F.pmod(F.xxhash64("k", F.lit(11)), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int((1 << 30) * min(1.0, 1.5 * per_language / n)))])
-    taken: dict[str, list] = {}
-    for r in rows.where(draw < share[F.col("l")]).select(draw.alias("d"), "k", "t", "l").collect():  # bounded by the parameter
-        taken.setdefault(r.l, []).append((r.d, str(r.k), r.t))
-    return grow({x: [t.encode("utf-8", "replace") for _, _, t in sorted(v)[:per_language]] for x, v in taken.items()}, order, least)
+    drawn = rows.where(draw < share[F.col("l")]).dropDuplicates(["k", "t", "l"]).withColumn("d", draw)
+    by = Window.partitionBy("l").orderBy("d", F.col("k").cast("string"), "t")
+    drawn = drawn.withColumn("nth", F.row_number().over(by)).withColumn("before", F.sum(F.octet_length("t")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.octet_length("t"))
+    taken: dict[str, list[bytes]] = {}
+    for r in drawn.where((F.col("nth") <= per_language) & (F.col("before") < language_bytes)).orderBy("l", "nth").select("l", "t").collect():
+        taken.setdefault(r.l, []).append(r.t.encode("utf-8", "replace"))
+    return grow(taken, order, least)
 
 
 def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,15 +2,19 @@
 
 ``fit`` counts, over labelled texts, in how many toxic and clean ones each unit occurs. A unit is a word or a word's first
 4 to 7 bytes, so that an unseen ending of a known stem still counts. Its log-odds ratio is taken under an informative
-Dirichlet prior, the pooled counts scaled by ``prior``; units whose ratio is at least ``least`` and ``z`` standard errors above 0 score
-it, all other words cost ``drift``. ``segments`` finds all maximal scoring segments in linear time. A segment's score is
-calibrated by the extreme-value law of such maxima: lambda solves E[exp(lambda * score)] = 1 over clean words, and
-among n words a segment of score S is expected K * n * exp(-lambda * S) times by chance. A document's statistic sums
-lambda * S - ln(K * n) over its significant segments; a logistic curve, fitted to the same labelled texts, makes it a score.
+Dirichlet prior, the pooled counts scaled by ``prior``. A word scores its ratio where that is ``z`` standard errors from 0 - as
+its own unit, or, where that is toxic by ``least`` at least, by its longest known stem - and 0 elsewhere, less ``drift``, which keeps
+the mean over clean words below 0. ``segments`` finds all maximal scoring segments in linear time. A segment's score is
+calibrated by the extreme-value law of such maxima: lambda solves E[exp(lambda * score)] = 1 over the scores of the words of
+clean texts, and among n words a segment of score S or more is expected K * n * exp(-lambda * S) times by chance. K is
+the likeliest for the best segments of the clean texts, those without any counted as below the least score that a word has. Segments
+expected at most ``chance`` times are significant. A document's statistic sums lambda * S - ln(K * n) over them; a logistic curve,
+fitted to the same labelled texts, makes it a score.
 
 Null and empty texts have no words and the score of a text without any toxic segment. Repeated rows are scored each.
 Labels are joined by key; keys with several labels count as toxic if any is. Texts without a label are never learned from.
-Without toxic or without clean texts there is nothing to learn: every text gets 0.
+Without toxic or without clean texts, as of empty tables, there is nothing to learn: every text gets 0. Of other columns only
+the key, the text and the label are read, whatever the names of the rest.
 """
 
 from __future__ import annotations
@@ -71,9 +75,9 @@ def segments(scores) -> list[tuple[int, int, float]]:
 class Model:
     scores: dict[bytes, float]
     drift: float
-    scale: float  # lambda
-    size: float  # K
-    cut: float  # the least lambda * S - ln(K * n) that counts
+    scale: float = 0.0  # lambda
+    size: float = 1.0  # K
+    chance: float = 0.05  # the most times that a significant segment is expected
     intercept: float = -20.0
     slope: float = 0.0
 
@@ -86,61 +90,72 @@ class Model:
                 return self.scores[u]
         return 0.0
 
-    def passages(self, text: str | None) -> tuple[list[tuple[int, int, float, float]], float]:
-        """Significant segments (first word, last word, score, expected number by chance), and their statistic."""
-        ws = words(text)
-        memo = self.memo
+    def words(self, text: str | None) -> np.ndarray:
+        """The score of each word, before drift."""
+        ws, memo = words(text), self.memo
         if len(memo) > 500_000:
             memo.clear()
         for w in set(ws).difference(memo):
             memo[w] = self._of(w)
-        if not ws or not self.scale:
-            return [], 0.0
-        own = np.fromiter(map(memo.__getitem__, ws), np.float64, len(ws))
+        return np.fromiter(map(memo.__getitem__, ws), np.float64, len(ws))
+
+    def segments(self, own: np.ndarray) -> list[tuple[int, int, float]]:
+        """Maximal scoring segments of words of these scores, less drift."""
         at = np.flatnonzero(own)
         if not len(at):
-            return [], 0.0
-        # words that cost drift are summed up between the others
+            return []
+        # words that cost drift alone are summed up between the others
         gaps = np.diff(np.concatenate([[-1], at])) - 1
         both = np.empty(2 * len(at))
-        both[0::2], both[1::2] = -self.drift * gaps, own[at]
-        out, statistic, chance = [], 0.0, math.log(self.size * len(ws))
-        for a, b, s in segments(both.tolist()):
+        both[0::2], both[1::2] = -self.drift * gaps, own[at] - self.drift
+        return [(int(at[a // 2]), int(at[b // 2]), float(s)) for a, b, s in segments(both.tolist())]
+
+    def passages(self, text: str | None) -> tuple[list[tuple[int, int, float, float]], float]:
+        """Significant segments (first word, last word, score, expected number by chance), and their statistic."""
+        own = self.words(text)
+        if not len(own) or not self.scale:
+            return [], 0.0
+        out, statistic, chance = [], 0.0, math.log(self.size * len(own))
+        for a, b, s in self.segments(own):
             normal = self.scale * s - chance
-            if normal > self.cut:
-                out.append((int(at[a // 2]), int(at[b // 2]), float(s), math.exp(-normal)))
+            if normal >= -math.log(self.chance):
+                out.append((a, b, s, math.exp(-normal)))
                 statistic += normal
         return out, statistic
 
     def probability(self, statistic: float) -> float:
+        if not self.scores:
+            return 0.0
         x = self.intercept + self.slope * math.log1p(statistic)
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
 
 
-def _learn(toxic: Counter, clean: Counter, n1: int, n0: int, tokens0: int, *, prior: float, z: float, drift: float, most: int, least: float) -> Model:
-    kept, prior = [], prior * (n1 + n0)
-    for u, y1 in toxic.items():
-        y0 = clean.get(u, 0)
-        a = prior * (y1 + y0) / (n1 + n0)
-        ratio = math.log((y1 + a) / (n1 + prior - y1 - a + 1e-9)) - math.log((y0 + a) / (n0 + prior - y0 - a + 1e-9))
-        error = math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
-        if ratio > least and ratio / error >= z:
-            kept.append((ratio / error, u, ratio, y0))
-    kept = sorted(kept, key=lambda x: (-x[0], x[1]))[:most]
-    scores = {u: r for _, u, r, _ in kept}
-    if not scores:
-        return Model({}, drift, 0.0, 1.0, 0.0)
-    # clean words that score: each document that holds the unit counts once, and half a word more for what is yet unseen
-    rate = (0.5 + sum(y0 for *_, y0 in kept)) / (tokens0 + 1)
-    mean = sum(scores.values()) / len(scores)
-    low, high = 1e-6, 200.0 / mean
+def _ratio(y1, y0, n1: int, n0: int, prior: float, log, sqrt) -> tuple:
+    """The log-odds ratio of a unit of y1 toxic and y0 clean texts under the prior, and its standard error."""
+    prior = prior * (n1 + n0)
+    a = (y1 + y0) * (prior / (n1 + n0))
+    ratio = log((y1 + a) / (n1 + prior - y1 - a + 1e-9)) - log((y0 + a) / (n0 + prior - y0 - a + 1e-9))
+    return ratio, sqrt(1 / (y1 + a) + 1 / (y0 + a))
+
+
+def decay(scores: np.ndarray, share: np.ndarray) -> float:
+    """lambda > 0 with sum(share * exp(lambda * scores)) = 1; 0 if there is none, as the mean is not below 0 or no score above."""
+    share = share / share.sum()
+    if not (share @ scores < 0 and scores[share > 0].max() > 0):
+        return 0.0
+    low, high = 0.0, 1.0
+    while share @ np.exp(np.minimum(high * scores, 700)) < 1:
+        high *= 2
     for _ in range(100):
         mid = (low + high) / 2
-        if (1 - rate) * math.exp(-mid * drift) + rate * math.exp(mid * mean) < 1:
-            low = mid
-        else:
-            high = mid
-    return Model(scores, drift, low, 1.0, 0.0)
+        low, high = (mid, high) if share @ np.exp(np.minimum(mid * scores, 700)) < 1 else (low, mid)
+    return low
+
+
+def extent(best: np.ndarray, n: np.ndarray, scale: float, least: float) -> float:
+    """The likeliest K, of best segment scores of texts of n words; those of 0 are known to be below `least` only."""
+    some = best > 0
+    return max(0.5, float(some.sum())) / max(1e-300, float((n * np.exp(-scale * np.where(some, best, least))).sum()))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-2) -> tuple[float, float]:
@@ -155,15 +170,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     return float(beta[0]), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 10_000, prior: float = 0.1, z: float = 3.3, drift: float = 0.05, least: float = 1.5, most: int = 50_000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 10_000, prior: float = 0.1, z: float = 3.3, drift: float = 0.05, least: float = 1.5, chance: float = 0.05, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learns from up to about `per_class` labelled texts of either class, drawn by a hash of their key.
 
-    Texts that are the same count once. `most` bounds the units of the model, which is broadcast.
+    Texts that are the same count once. The model's units are bounded by those texts; it is broadcast.
     """
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1)).groupBy("k").agg(F.max("y").alias("y"))
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if set(sizes) != {0, 1}:
-        return Model({}, drift, 0.0, 1.0, 0.0)
+        return Model({}, drift)
     space = 1 << 30
     draw = F.pmod(F.xxhash64("k", F.lit(5)), F.lit(space))
     drawn = known.where(draw < F.when(F.col("y") == 1, int(space * min(1.0, per_class / sizes[1]))).otherwise(int(space * min(1.0, per_class / sizes[0]))))
@@ -171,37 +186,38 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 10_000, prior: f
     sample = store(sample, "toxicity-sample")  # the draw, about 2 * per_class keys, is broadcast; texts that were not drawn are not dealt out
 
     def counted(batches):
-        counts, docs_of, tokens = [Counter(), Counter()], [0, 0], 0
+        counts, docs_of = [Counter(), Counter()], [0, 0]
 
         def flushed():
-            nonlocal tokens
             names = list(set(counts[0]) | set(counts[1]))
-            rows = [(n, counts[1][n], counts[0][n], 0) for n in names] + [(b"", docs_of[1], docs_of[0], tokens)]
+            rows = [(n, counts[1][n], counts[0][n]) for n in names] + [(b"", docs_of[1], docs_of[0])]
             counts[0].clear(), counts[1].clear()
-            docs_of[:], tokens = [0, 0], 0
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i else pa.binary()) for i in range(4)], names=["u", "y1", "y0", "tokens"])
+            docs_of[:] = [0, 0]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i else pa.binary()) for i in range(3)], names=["u", "y1", "y0"])
 
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ws = words(t)
                 docs_of[y] += 1
-                tokens += 0 if y else len(ws)
                 counts[y].update({u for w in set(ws) for u in units(w)})
                 if len(counts[0]) + len(counts[1]) > 200_000:  # what a task holds is bounded; sums follow
                     yield flushed()
         yield flushed()
 
-    counts = sample.mapInArrow(counted, "u binary, y1 long, y0 long, tokens long").groupBy("u").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"), F.sum("tokens").alias("tokens"))
-    # a unit of fewer toxic texts cannot reach z; what is left is bounded by the sample
-    rows = counts.where((F.col("u") == F.lit(b"")) | (F.col("y1") >= 3) & (F.col("y1") * (sizes[0] + sizes[1]) > 2 * (F.col("y0") + F.col("y1")) * F.lit(min(sizes.values()) / 2))).collect()
-    whole = next((r for r in rows if bytes(r.u) == b""), None)
+    counts = store(sample.mapInArrow(counted, "u binary, y1 long, y0 long").groupBy("u").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")), "toxicity-units")
+    whole = counts.where(F.col("u") == F.lit(b"")).first()
     if whole is None or not whole.y1 or not whole.y0:
-        return Model({}, drift, 0.0, 1.0, 0.0)
-    own = [(bytes(r.u), r.y1, r.y0) for r in rows if bytes(r.u)]
-    model = _learn(Counter({u: a for u, a, _ in own}), Counter({u: b for u, _, b in own}), whole.y1, whole.y0, whole.tokens, prior=prior, z=z, drift=drift, most=most, least=least)
-    if model.scores:
+        return Model({}, drift)
+    ratio, error = _ratio(F.col("y1").cast("double"), F.col("y0").cast("double"), whole.y1, whole.y0, prior, F.log, F.sqrt)
+    stem = F.substring("u", 1, 1) == F.lit(b"^")
+    told = counts.where(F.col("u") != F.lit(b"")).withColumn("ratio", ratio).withColumn("error", error)
+    # units that tell toxic texts, and words that tell clean ones
+    own = [(bytes(r.u), r.y1, r.y0, r.ratio) for r in told.where((F.col("ratio") >= F.col("error") * z) & (F.col("ratio") >= least) | ~stem & (F.col("ratio") <= F.col("error") * -z)).collect()]
+    model = Model({u: r for u, _, _, r in own}, drift, chance=chance)
+    toxic = {u for u, *_, r in own if r > 0}
+    if toxic:
         # a unit that copies of few texts carry always stands between the same words: it counts once for each surrounding
-        asked = docs.sparkSession.sparkContext.broadcast(set(model.scores))
+        asked = docs.sparkSession.sparkContext.broadcast(toxic)
 
         def surrounded(batches):
             for batch in batches:
@@ -216,10 +232,42 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 10_000, prior: f
                 yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.binary()), pa.array([a for _, a in out], pa.int64())], names=["u", "around"])
 
         spread = {bytes(r.u): r.n for r in sample.where("y = 1").mapInArrow(surrounded, "u binary, around long").distinct().groupBy("u").agg(F.count(F.lit(1)).alias("n")).collect()}
-        own = [(u, min(a, spread.get(u, 0)), b) for u, a, b in own if u in model.scores]
-        model = _learn(Counter({u: a for u, a, _ in own}), Counter({u: b for u, _, b in own}), whole.y1, whole.y0, whole.tokens, prior=prior, z=z, drift=drift, most=most, least=least)
-    if not model.scores:
-        return model
+        for u, y1, y0, _ in own:
+            if u in toxic:
+                r, e = _ratio(min(y1, spread.get(u, 0)), y0, whole.y1, whole.y0, prior, lambda x: math.log(max(x, 1e-300)), math.sqrt)
+                if r >= least and r >= z * e:
+                    model.scores[u] = r
+                else:
+                    del model.scores[u]
+    if max(model.scores.values(), default=0.0) <= 0:
+        return Model({}, drift)
+    scored = docs.sparkSession.sparkContext.broadcast(model)
+
+    def weighed(batches):
+        for batch in batches:
+            found: Counter = Counter()
+            for t in batch.column(0).to_pylist():
+                values, n = np.unique(scored.value.words(t), return_counts=True)
+                found.update(dict(zip(values.tolist(), n.tolist(), strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.float64()), pa.array(list(found.values()), pa.int64())], names=["s", "n"])
+
+    # as many rows as the units have scores
+    told = sample.where("y = 0").mapInArrow(weighed, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
+    above = [v for v in model.scores.values() if v > 0]
+    # half a word of each positive score, for those that other clean texts hold
+    scores, n = np.array([r.s for r in told] + above) - drift, np.array([float(r.n) for r in told] + [0.5 / len(above)] * len(above))
+    model.scale = decay(scores, n)
+    if not model.scale:
+        return Model({}, drift)
+    ruled = docs.sparkSession.sparkContext.broadcast(model)
+
+    def best(batches):
+        for batch in batches:
+            rows = [(max((x for *_, x in ruled.value.segments(own)), default=0.0), len(own)) for own in map(ruled.value.words, batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int64())], names=["best", "n"])
+
+    clean = sample.where("y = 0").mapInArrow(best, "best double, n long").where("n > 0").toArrow()  # two numbers a sample text
+    model.size = extent(clean.column("best").to_numpy(), clean.column("n").to_numpy(), model.scale, min(above) - drift)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def measured(batches):

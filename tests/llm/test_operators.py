@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -263,6 +264,23 @@ def test_segments_are_maximal():
         got = toxicity.segments(s)
         assert sum(x for *_, x in got) == sum(x for *_, x in best(0, len(s)))
         assert all(sum(s[a : b + 1]) == x for a, b, x in got)
+        s = [x + random.random() / 100 for x in s]  # without ties the segments are the same
+        assert [(a, b) for a, b, _ in toxicity.segments(s)] == [(a, b) for a, b, _ in best(0, len(s))]
+
+
+def test_calibration_holds_on_random_scores():
+    """lambda and K, fitted on half of simulated texts, tell how often the other half's best segments pass a score."""
+    rng = np.random.default_rng(5)
+    values, share = np.array([-1.0, 0.5, 2.0]), np.array([0.8, 0.15, 0.05])
+    scale = toxicity.decay(values, share)
+    assert share @ np.exp(scale * values) == pytest.approx(1)
+    assert toxicity.decay(np.array([-1.0, 3.0]), np.array([0.5, 0.5])) == 0 and toxicity.decay(np.array([-1.0]), np.array([1.0])) == 0
+    n = rng.integers(50, 400, 1500)
+    best = np.array([max((x for *_, x in toxicity.segments(rng.choice(values, k, p=share).tolist())), default=0.0) for k in n])
+    size = toxicity.extent(best[:750], n[:750], scale, 0.5)
+    expected = size * n[750:] * np.exp(-scale * best[750:])
+    for level in (0.02, 0.1, 0.3):
+        assert np.mean(expected <= level) == pytest.approx(1 - math.exp(-level), abs=0.05)
 
 
 def test_toxicity(spark, docs, none):
@@ -289,11 +307,12 @@ def test_language(spark, docs, none):
 
 
 def test_code_lengths_are_those_of_the_context_trees():
-    """Against the definition: the longest known context, escapes down to all bytes alike."""
+    """Against the definition: the longest known context, escapes to shorter ones without the bytes seen, down to all bytes alike."""
     samples = {"a": [b"abracadabra" * 4, b"cab"], "b": [b"banana bandana" * 3]}
     order, least = 3, 3
     model = langid.grow(samples, order, least)
-    wide = model.child.shape[1]
+    sizes = {x: sum(len(t) + order for t in samples[x]) for x in samples}
+    enough = {x: max(2, least * sizes[x] / max(sizes.values())) for x in samples}
 
     def seen(lang, context):
         counts = {}
@@ -305,13 +324,19 @@ def test_code_lengths_are_those_of_the_context_trees():
         return counts
 
     def p(lang, context, byte):
-        lower = p(lang, context[1:], byte) if context else 1 / max(256, wide)
-        if context and max(sum(seen(x, context).values()) for x in samples) < least:
-            return lower
+        shorter = (lambda b: p(lang, context[1:], b)) if context else (lambda b: 1 / 256)
+        if context and not any(sum(seen(x, context).values()) >= enough[x] for x in samples):
+            return shorter(byte)
         counts = seen(lang, context)
         total, kinds = sum(counts.values()), len(counts)
-        return (counts.get(byte, 0) + kinds * lower) / (total + kinds) if kinds else lower
-
+        if not kinds:
+            return shorter(byte)
+        if byte in counts:
+            return counts[byte] / (total + kinds)
+        return kinds / (total + kinds) * shorter(byte) / (1 - sum(shorter(b) for b in counts))
+
+    for context in (b"", b"a", b"an", b"ab"):
+        assert sum(p("a", context, b) for b in range(256)) == pytest.approx(1)
     text = b"abba bandcab"
     padded = b"\n" * order + text
     for j, lang in enumerate(model.langs):
