@@ -20,7 +20,10 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     low = min(text, default=0) - 1
     text = [*text, low]
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
+    places: dict[int, list[int]] = {c: [] for c in sorted(set(text))}
+    for i, c in enumerate(text):
+        places[c].append(i)
+    order = [i for c in places for i in places[c]]
     at = [0] * n  # where a suffix stands in order
     group = [0] * n  # the first place of its group
     size = [0] * n  # by first place
@@ -31,7 +34,7 @@ def suffix_array(text: Sequence[int]) -> list[int]:
         at[i] = place
         group[i] = start
         size[start] += 1
-    before = [-1] * n  # the previous smaller pointers
+    before = [-2] * n  # the previous smaller pointers; -2: not known yet
     top = n - 1
     while top >= 0:
         start = group[order[top]]
@@ -56,13 +59,21 @@ def suffix_array(text: Sequence[int]) -> list[int]:
                     size[last] = 1
         else:
             pointed: dict[int, int] = {}
-            for i in sorted(order[start : top + 1]):
-                j = i - 1
+            for i in order[start : top + 1]:
+                if before[i] != -2:
+                    continue
+                # members of this group that are passed on the way lead to the same suffix
+                passed, j = [i], i - 1
                 while j >= 0 and group[j] >= start:
-                    j = before[j]
-                before[i] = j
+                    if before[j] == -2:
+                        passed.append(j)
+                        j -= 1
+                    else:
+                        j = before[j]
+                for k in passed:
+                    before[k] = j
                 if j >= 0:
-                    pointed[j] = pointed.get(j, 0) + 1
+                    pointed[j] = pointed.get(j, 0) + len(passed)
             if pointed:
                 by_count: dict[int, list[int]] = {}
                 for j, k in pointed.items():

@@ -201,6 +201,44 @@ def test_repeats(docs, none):
     assert repeats.remove_repeats(none).count() == 0
 
 
+def test_repeats_across_tasks_are_those_of_brute_force(spark):
+    rng = random.Random(8)
+    passages = ["".join(rng.choices("abcdé ", k=rng.choice([49, 50, 51, 90, 400]))) for _ in range(12)]
+    rows = [(rng.choice([i, i, i // 2]), "".join(rng.choice(passages) if rng.random() < 0.5 else "".join(rng.choices("xyz ", k=30)) for _ in range(rng.randint(0, 6)))) for i in range(120)]
+    rows += [(None, passages[3]), (None, passages[3]), (3, None), (7, ""), (500, "".join(rng.choices("abcdefgh", k=150_000)) + passages[4] + "q" * 150_000), (501, "q" * 60), rows[5], rows[5]]
+    raw = [(t or "").encode() for _, t in rows]
+    least = {}
+    for (k, _), r in zip(rows, raw, strict=True):
+        for i in range(len(r) - 49) if k is not None else ():
+            w = r[i : i + 50]
+            least[w] = min(k, least.get(w, k))
+    wanted = []
+    for (k, _), r in zip(rows, raw, strict=True):
+        cut = bytearray(len(r))
+        for i in range(len(r) - 49) if k is not None else ():
+            if least[r[i : i + 50]] < k:
+                cut[i : i + 50] = b"\1" * 50
+        kept = bytes(c for c, gone in zip(r, cut, strict=True) if not gone)
+        wanted.append((str(k), len(r), sum(cut), len(re.findall(b"\1+", bytes(cut))), hashlib.sha256(kept).hexdigest()))
+    for parts in (1, 9):
+        got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(wanted)
+
+
+def test_repeats_are_told_on_bytes_not_on_hashes():
+    import pyarrow as pa
+
+    texts, one = [b"a" * 60, b"b" * 60, b"a" * 60], np.zeros(3, np.int64)
+    same = np.ones(3, np.uint64)  # all contexts collide
+    gone, runs = repeats._local(texts, np.array([1, 2, 3]), np.arange(3), one, one + 10, same, same, 50)
+    assert gone.tolist() == [False, False, True] and runs == [(2, 0, 10)]
+    docs = pa.table({"doc_id": [2], "text": ["b" * 60]})
+    equal = {"kind": [2], "block": [0], "doc": [2], "tag": [zlib.crc32(b"b" * 60)], "first": [0]} | {n: pa.array([None], pa.binary()) for n in ("docs", "tags", "firsts", "lasts")}
+    assert repeats._strip(docs, pa.table({**equal, "context": [b"b" * 55]}).select([*equal, "context"]).filter([True]), 50, False, ()).column("n_removed").to_pylist() == [55]
+    with pytest.raises(ValueError, match="share a hash"):
+        repeats._strip(docs, pa.table({**equal, "context": [b"a" * 55]}), 50, False, ())
+
+
 def test_contamination(spark, docs, none):
     items = [(1, " ".join(BASE.split()[10:40])), (2, "one"), (3, None), (4, prose(30)), (10, BASE.upper()), (None, BASE), (11, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
