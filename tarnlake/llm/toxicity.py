@@ -297,6 +297,19 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, score double, predicted int, n_passages long")
 
 
+def keep(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose whole text is not predicted toxic; each row is judged on its own."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            kept = [sent.value.probability(sent.value.passages(t)[1]) < 0.5 for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def passages(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, first_word, last_word, segment_score, expected): every significant passage, a row each."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

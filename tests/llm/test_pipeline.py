@@ -85,3 +85,50 @@ def test_clean_documents_pass_toxicity(spark, staged):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DIR}/labels.parquet").collect()}
     gone = {r.doc_id for r in staged[0].collect()} - {r.doc_id for r in staged[1].collect()}
     assert all(labels.get(k, 1) == 1 for k in gone)
+
+
+def test_stages_take_rows_that_break_things(spark):
+    """Nulls, repeated rows and ids, empty texts and extra columns; and no rows at all."""
+    import corpus_pipeline as P
+
+    words = [f"w{i}" for i in range(60)]
+    whole = " ".join(words)
+    benchmark = spark.read.parquet(f"{DIR}/benchmark.parquet").first().text
+    rows = [(1, whole), (1, whole), (None, whole), (None, benchmark), (None, None), (2, ""), (3, " ".join(words[::-1])), (3, " ".join(words[1::2] * 2))]
+    docs = spark.createDataFrame([(k, t, None, None, None, "x") for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, id string")
+    tell = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.collect())
+    same = tell(docs)
+    assert tell(P.drop_toxic(spark, docs, DIR)) == same
+    near = tell(P.drop_near_duplicates(spark, docs, DIR))
+    assert [t for _, t in near].count(whole) == 1 and len(near) == len(rows) - 2
+    assert tell(P.drop_contaminated(spark, docs, DIR)) == sorted(x for x in same if x[1] != benchmark)
+    assert len(tell(P.cut_repeats(spark, docs, DIR))) == len(rows)
+    assert P.pack(spark, docs, DIR).count() == len(rows)
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), DIR).count() == 0
+
+
+def test_queries_have_their_columns(spark):
+    """The ten registered queries and run(), over a whole table: columns, rows and folds."""
+    import zlib
+
+    import corpus_pipeline as P
+    from tarnlake.llm import queries
+
+    ids = [r.doc_id for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id").collect()]
+    columns = {
+        "op1_toxicity": {"doc_id", "held_out", "score", "predicted"}, "op2_decontamination": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"}, "op3_language_id": {"doc_id", "held_out", "lang_pred", "score"},
+        "op4_near_duplicates": {"doc_id", "n_shingles", "component_id", "kept"}, "op5_token_ids": {"doc_id", "start", "n_tokens", "ids_crc32"}, "op6_quality_rules": {"doc_id", "n_words", "base_failed", "kept"}, "op7_quality_classifier": {"doc_id", "held_out", "score"},
+        "op8_packing": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}, "op9_suffix_dedup": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"}, "op10_url_filters": {"page_id", "host", "path", "rule", "verdict"},
+    }
+    assert columns.keys() == queries.QUERIES.keys()
+    for name, wanted in columns.items():
+        out = queries.QUERIES[name](spark, DIR)
+        assert wanted <= set(out.columns)
+        if "doc_id" in wanted:
+            got = out.toPandas()
+            assert set(got.doc_id) == set(ids) and (name == "op8_packing" or len(got) == len(ids))
+            if "held_out" in wanted:
+                n, left = (4, 2) if name == "op3_language_id" else (5, 0)
+                assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % n == left) and 0 <= r.score <= 1 for r in got.itertuples())
+    assert {r.doc_id for r in P.run(spark, DIR).collect()} <= set(ids)
