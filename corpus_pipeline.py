@@ -19,19 +19,31 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not rejected; rows without one stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+def _without(docs: DataFrame, rejected: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows whose key is not rejected; rows without one stay.
+
+    The rejected keys are stored first: their size is known then, and only where it is below Spark's limit are they broadcast.
+    """
+    return docs.join(store(rejected.select(key).distinct(), "rejected"), key, "left_anti").select(*COLUMNS)
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Rows, and a column that tells them apart: doc_id, or where that is null or repeated, a number given once and stored."""
+    ids = docs.agg(F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("ids")).first()
+    if ids["rows"] == ids["ids"] and docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return docs, "doc_id"
+    return store(docs.withColumn("own_row", F.monotonically_increasing_id()), "rows"), "own_row"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
-    return _without(docs, toxicity.score(docs, model).where("predicted = 1"))
+    return toxicity.keep(docs.select(*COLUMNS), model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays. Of rows that share an id, all share its fate."""
-    return _without(docs, neardup.near_duplicates(docs).where(~F.col("kept")))
+    """One document of each group stays; of rows that are the same, one row."""
+    rows, key = _keyed(docs)
+    return _without(rows, neardup.near_duplicates(rows, key=key).where(~F.col("kept")), key)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +52,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, postings.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    rows, key = _keyed(docs)
+    found = postings.contamination(rows.withColumnRenamed(key, "own_key"), table(spark, sf_dir, "benchmark"), key="own_key")
+    return _without(rows, found.where("contaminated").select(F.col("doc_id").alias(key)), key)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
