@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one that ``spark.checkpoint.dir`` names. Only where that is unset, as in tests on one machine,
-    a temporary folder is made; it goes when the process ends.
+    It is the one that ``spark.checkpoint.dir`` names. Only where that is unset and the master is local, as in tests, a
+    temporary folder is made; it goes when the process ends. On any other master an unset folder is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tarnlake-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
