@@ -2,47 +2,83 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import money
 
 
-def _overlap(own: Column, wanted: Sequence[str], weight: int) -> tuple[Column, Column]:
-    """Points, and whether something was asked and not met."""
-    keys = [w.strip().lower() for w in wanted if w.strip()]
-    if not keys:
-        return F.lit(0), F.lit(False)
-    met = F.arrays_overlap(F.transform(own, lambda x: F.lower(F.trim(x))), F.array(*[F.lit(k) for k in keys]))
-    met = F.coalesce(met, F.lit(False))
-    return F.when(met, weight).otherwise(0), ~met
+#: What is told of a match.
+NO_MATCH = "No strong structured match was found; review the official source before acting."
+ACTIONABLE = "The opportunity is currently actionable in the catalogue status data."
+CLOSED_REFERENCE = "The record is closed or historical, so it is useful for reference rather than immediate application."
+CLOSED_WANTED = "Closed and historical records are included by your preference."
+UPCOMING = "The record appears upcoming based on structured status/date data."
+UNVERIFIED = "Application status requires verification before acting."
+SCOPE_MET = "Geographic scope appears compatible."
+SCOPE_MISSING = "Geographic scope data is missing for this record."
+FUNDING_MET = "Recorded structured funding can meet or exceed the requested amount."
+FUNDING_MISSING = "Structured funding data is missing for this record."
+STATUS, SCOPE, FUNDING = "application status", "geographic scope", "funding requirement"
+
+
+def explain(bucket: Column, profile: dict, *, applicants: Column, sectors: Column, stages: Column, scope: Column, amounts: Column) -> Column:
+    """struct(score, matched, unmatched, reasons, warnings) of a record; score is 0 to 100, the lists but reasons are sorted.
+
+    Each finding is a condition with its points and what it adds to the lists; conditions of one subject exclude each other.
+    """
+    findings: list[tuple[Column, int, dict[str, str]]] = []
 
+    def found(condition: Column, points: int = 0, **told: str) -> None:
+        findings.append((F.coalesce(condition, F.lit(False)), points, told))
 
-def score(df: DataFrame, bucket: Column, profile: dict, *, applicants: Column, sectors: Column, stages: Column, scope: Column, amounts: Column) -> DataFrame:
-    """Adds score (0 to 100) and unmatched (sorted names of what was asked and not met); rows the profile leaves out go."""
     closed = bucket.isin("CLOSED", "HISTORICAL")
-    points = F.when(bucket.isin("OPEN", "CLOSING_SOON"), 15).when(closed, 3 if profile.get("include_closed") else 0).when(bucket == "VERIFICATION_REQUIRED", 5).when(bucket == "UPCOMING", 10).otherwise(0)
-    missing = []
+    found(bucket.isin("OPEN", "CLOSING_SOON"), 15, matched=STATUS, reasons=ACTIONABLE)
+    if profile.get("include_closed"):
+        found(closed, 3, reasons=CLOSED_WANTED)
+    else:
+        found(closed, unmatched=STATUS, reasons=CLOSED_REFERENCE)
+    if profile.get("include_verification_required", True):
+        found(bucket == "VERIFICATION_REQUIRED", 5, warnings=UNVERIFIED)
+    else:
+        found(bucket == "VERIFICATION_REQUIRED", unmatched=STATUS)
+    found(bucket == "UPCOMING", 10, matched=STATUS, reasons=UPCOMING)
     for column, name, weight, field in ((applicants, "applicant_types", 25, "applicant type"), (sectors, "sectors", 25, "sector"), (stages, "startup_stages", 20, "startup stage")):
-        p, m = _overlap(column, profile.get(name, ()), weight)
-        points = points + p
-        missing.append(F.when(m, F.lit(field)))
+        wanted = sorted({w.strip().lower() for w in profile.get(name, ()) if w.strip()})
+        if wanted:
+            own = F.filter(F.transform(F.coalesce(column, F.array()).cast("array<string>"), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+            met = F.arrays_overlap(own, F.array(*[F.lit(w) for w in wanted]))
+            found(F.size(own) == 0, unmatched=field, warnings=f"{field} data is missing for this record.")
+            found((F.size(own) > 0) & met, weight, matched=field, reasons=f"Matched {field} against structured catalogue fields.")
+            found((F.size(own) > 0) & ~met, unmatched=field)
     if want := profile.get("geographic_scope"):
         own = F.lower(F.coalesce(scope, F.lit("")))
         met = F.contains(own, F.lit(want.lower())) | F.contains(own, F.lit("national"))
-        points = points + F.when((own != "") & met, 10).otherwise(0)
-        missing.append(F.when((own != "") & ~met, F.lit("geographic scope")))
+        found(own == "", warnings=SCOPE_MISSING)
+        found((own != "") & met, 10, matched=SCOPE, reasons=SCOPE_MET)
+        found((own != "") & ~met, unmatched=SCOPE)
     if need := profile.get("funding_requirement"):
-        most = F.array_max(amounts)
-        points = points + F.when(most >= need, 5).otherwise(0)
-        missing.append(F.when(most < need, F.lit("funding requirement")))
-    kept = df if profile.get("include_closed") else df.where(~closed)
+        most = F.array_max(F.coalesce(amounts, F.array().cast("array<long>")))
+        found(most.isNull(), warnings=FUNDING_MISSING)
+        found(most >= need, 5, matched=FUNDING, reasons=FUNDING_MET)
+        found(most < need, unmatched=FUNDING)
+
+    def told(name: str) -> Column:
+        return F.filter(F.array(*[F.when(c, F.lit(x[name])) for c, _, x in findings if name in x], F.lit(None).cast("string")), lambda x: x.isNotNull())
+
+    points = sum((F.when(c, p).otherwise(0) for c, p, _ in findings if p), F.lit(0))
+    reasons = F.when(F.size(told("reasons")) == 0, F.array(F.lit(NO_MATCH))).otherwise(told("reasons"))
+    lists = [F.sort_array(F.array_distinct(told(n))).alias(n) for n in ("matched", "unmatched", "warnings")]
+    return F.struct(F.greatest(F.lit(0), F.least(points, F.lit(100))).alias("score"), lists[0], lists[1], reasons.alias("reasons"), lists[2])
+
+
+def score(df: DataFrame, bucket: Column, profile: dict, **fields: Column) -> DataFrame:
+    """Adds score and what explains it (explain) as columns, unmatched as one text; rows that the profile leaves out go."""
+    kept = df if profile.get("include_closed") else df.where(~bucket.isin("CLOSED", "HISTORICAL"))
     if not profile.get("include_verification_required", True):
         kept = kept.where(bucket != "VERIFICATION_REQUIRED")
-    unmatched = F.array_join(F.sort_array(F.filter(F.array(*missing), lambda x: x.isNotNull())), ",") if missing else F.lit("")
-    return kept.withColumn("score", F.greatest(F.lit(0), F.least(points, F.lit(100)))).withColumn("unmatched", unmatched)
+    own = kept.withColumn("__match", explain(bucket, profile, **fields))
+    return own.withColumns({n: F.col(f"__match.{n}") for n in ("score", "matched", "reasons", "warnings")}).withColumn("unmatched", F.array_join("__match.unmatched", ",")).drop("__match")
 
 
 def top(scored: DataFrame, name: str, limit: int = 10) -> DataFrame:
