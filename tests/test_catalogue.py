@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from tarnlake.functions.text import IGNORED_TOKENS
-from tarnlake.plans import catalogue, governance, records, registry
+from tarnlake.plans import catalogue, governance, records, registry, validation
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -67,7 +67,7 @@ def test_manifest_is_stable(spark):
 
 
 def test_catalogue_is_registered():
-    assert catalogue and governance and records and len(registry.QUERIES) > 50
+    assert catalogue and governance and records and validation and len(registry.QUERIES) > 50
 
 
 def test_document_tokens_are_of_all_lines(spark):
