@@ -150,29 +150,40 @@ def _deal(docs: DataFrame, length: int, gram: int, blocks: int, doc_blocks: int,
     """Packed anchors by block of their hash, and what is covered within the task by -1 less the block of its document: (block, n, docs, small, hashes)."""
 
     def run(batches):
-        texts, keys, parts, fresh = [], [], [], [0, 0]  # fresh: texts, and their bytes, whose anchors are not made yet
+        texts, keys, parts, kept, covers, fresh = [], [], [], [], [], [0, 0]  # fresh: texts, and their bytes, whose anchors are not made yet
 
         def flush():
             if fresh[0]:
                 start = len(texts) - fresh[0]
                 of, first, last, grams, context = anchors(texts[start:], length, gram, seed)
-                parts.append((of + start, first, last, grams, context))
+                parts.append(((of + start).astype(np.int32), first.astype(np.int32), last.astype(np.int32), grams, context))
             fresh[:] = [0, 0]
 
-        def packed():
+        def settle():
+            """Compares what is held byte by byte, then keeps only the anchors of what equals nothing here."""
+            flush()
+            if not parts:
+                return
             of, first, last, grams, context = (np.concatenate([p[i] for p in parts]) for i in range(5))
+            parts.clear()
             ids_of, tags_of = np.array(keys, np.int64), np.array([zlib.crc32(t) for t in texts], np.uint32)
             gone, runs = _local(texts, ids_of, of, first, last, grams, context, length)
-            rows = []
-            if runs:
-                at, lo, hi = (np.array([r[i] for r in runs], np.int64) for i in range(3))
-                block = _block(ids_of[at], tags_of[at], doc_blocks)
-                order = np.argsort(block, kind="stable")
-                for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                    rows.append((-1 - int(block[own[0]]), len(own), 0, _squeeze(ids_of[at[own]], tags_of[at[own]], lo[own].astype(np.int32), hi[own].astype(np.int32)), b""))
+            at, lo, hi = (np.array([r[i] for r in runs], np.int64) for i in range(3))
+            covers.append((ids_of[at], tags_of[at], lo.astype(np.int32), hi.astype(np.int32)))
             of, first, last, grams, context = (x[~gone] for x in (of, first, last, grams, context))
-            ids, tags, first, span = ids_of[of], tags_of[of], first.astype(np.uint32), (last - first).astype(np.uint8)
-            parts.clear(), texts.clear(), keys.clear()
+            kept.append((ids_of[of], tags_of[of], first.astype(np.uint32), (last - first).astype(np.uint8), grams, context))
+            texts.clear(), keys.clear()
+
+        def packed():
+            rows = []
+            ids, tags, lo, hi = (np.concatenate([c[i] for c in covers]) for i in range(4))
+            block = _block(ids, tags, doc_blocks)
+            order = np.argsort(block, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                if len(own):
+                    rows.append((-1 - int(block[own[0]]), len(own), 0, _squeeze(ids[own], tags[own], lo[own], hi[own]), b""))
+            ids, tags, first, span, grams, context = (np.concatenate([k[i] for k in kept]) for i in range(6))
+            covers.clear(), kept.clear()
             block = (grams % _U(blocks)).astype(np.int64)
             order = np.lexsort((first, tags, ids, block))
             block, ids, tags, first, span, grams, context = (x[order] for x in (block, ids, tags, first, span, grams, context))
@@ -186,7 +197,7 @@ def _deal(docs: DataFrame, length: int, gram: int, blocks: int, doc_blocks: int,
                 rows.append((int(block[a]), b - a, len(begin), _squeeze(np.diff(ids[a:b][begin], prepend=0), tags[a:b][begin], begin.astype(np.uint32), at.view(np.uint8).reshape(-1, 4).T, span[a:b]), raw[0].tobytes() + raw[1].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "n", "docs", "small", "hashes"])
 
-        size = 0
+        held, size = 0, 0
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = t.encode("utf-8", "replace") if t else b""
@@ -197,13 +208,16 @@ def _deal(docs: DataFrame, length: int, gram: int, blocks: int, doc_blocks: int,
                 texts.append(raw)
                 keys.append(k)
                 fresh[:] = [fresh[0] + 1, fresh[1] + len(raw)]
-                size += len(raw)
-                if size > 48 << 20:  # what a task holds is bounded
-                    flush()
-                    size = 0
+                held, size = held + len(raw), size + len(raw)
+                if held > 8 << 20:  # what a task holds is bounded, of texts by this and of anchors by the other
+                    settle()
+                    held = 0
+                if size > 48 << 20:
+                    settle()
+                    held, size = 0, 0
                     yield packed()
-        flush()
-        if parts:
+        settle()
+        if kept:
             yield packed()
 
     return docs.mapInArrow(run, "block long, n long, docs long, small binary, hashes binary")
