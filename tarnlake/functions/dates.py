@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import norm
+from .text import norm, once
 
 #: Names of months, and their short forms.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -35,11 +35,6 @@ def call_date(c: Column) -> Column:
     return F.when(text.rlike(day_first) & ~text.rlike(r"^\d+/\d+-|^\d+-\d+/"), _made(*(F.regexp_extract(text, day_first, g) for g in (3, 2, 1)))).when(text.rlike(iso), _made(*(F.regexp_extract(text, iso, g) for g in (1, 2, 3))))
 
 
-def _with(value: Column, use) -> Column:
-    """use(value) with the value worked out once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _each_place(words: Column, read) -> Column:
     """read(place) for each place of an array."""
     return F.transform(F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>")), read)
@@ -69,7 +64,7 @@ def _number_dates(run: Column) -> Column:
     def read(parts: Column) -> Column:
         return _each_place(parts, lambda i: F.when(short(F.get(parts, i + 1)) != "", _dated(F.get(parts, i + 2), short(F.get(parts, i + 1)), short(F.get(parts, i)))))
 
-    return _with(F.split(run, "[./-]"), read)
+    return once(F.split(run, "[./-]"), read)
 
 
 def extract(c: Column) -> Column:
@@ -84,6 +79,6 @@ def extract(c: Column) -> Column:
         words = F.regexp_extract_all(text, F.lit(r"(\w+|[^\s\w])"), F.lit(1))
         words = F.flatten(F.transform(words, lambda w: F.when(_month_numbers()[joined(w)].isNotNull(), F.array(joined(w), F.right(w, F.lit(4)))).otherwise(F.array(w))))
         runs = F.regexp_extract_all(text, F.lit(r"(?<!\w)(\d+(?:[./-]\d+)+)(?!\w)"), F.lit(1))
-        return F.concat(_with(words, _named_dates), F.flatten(F.transform(runs, _number_dates)))
+        return F.concat(once(words, _named_dates), F.flatten(F.transform(runs, _number_dates)))
 
-    return F.sort_array(F.array_distinct(F.filter(_with(F.lower(norm(c)), read), lambda d: d.isNotNull())))
+    return F.sort_array(F.array_distinct(F.filter(once(F.lower(norm(c)), read), lambda d: d.isNotNull())))

@@ -5,10 +5,11 @@ import re
 from difflib import SequenceMatcher
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tarnlake.functions.text import IGNORED_TOKENS
-from tarnlake.plans import catalogue, governance, records, registry, validation
+from tarnlake.plans import catalogue, evidence, governance, records, registry, validation
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,7 +19,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the test t
 def rows(frame):
     """Sorted rows of a pandas frame, columns by name, numbers rounded."""
     def one(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return str(bool(v))
@@ -67,7 +68,7 @@ def test_manifest_is_stable(spark):
 
 
 def test_catalogue_is_registered():
-    assert catalogue and governance and records and validation and len(registry.QUERIES) > 50
+    assert catalogue and evidence and governance and records and validation and len(registry.QUERIES) > 50
 
 
 def test_document_tokens_are_of_all_lines(spark):
