@@ -107,7 +107,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 def phrase_count(c: Column, phrase: str) -> Column:
     """Occurrences of a phrase as whole words in text that is already folded."""
-    return F.regexp_count(c, F.lit(rf"(?<!\w){re.escape(phrase.lower())}(?!\w)"))
+    return F.when(F.contains(c, F.lit(phrase.lower())), F.regexp_count(c, F.lit(rf"(?<!\w){re.escape(phrase.lower())}(?!\w)"))).otherwise(0)
 
 
 def hits(c: Column, phrases: Iterable[str]) -> Column:

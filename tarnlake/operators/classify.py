@@ -29,21 +29,22 @@ def has_any(text: Column, terms: Sequence[str]) -> Column:
 
 def ordered(text: Column, classes: Sequence[tuple[str, Sequence[str]]], default: str, *, veto: Sequence[str] = ()) -> Column:
     """The first class with a term in the text; a veto term gives the default at once."""
-    found = [(has_any(text, veto), default)] if veto else []
-    return rules.cascade([*found, *[(has_any(text, terms), name) for name, terms in classes]], default)
+    cases = [*([(veto, default)] if veto else []), *[(terms, name) for name, terms in classes]]
+    return T.once(text, lambda t: rules.cascade([(has_any(t, terms), name) for terms, name in cases], default))
 
 
 def any_labels(text: Column, classes: Mapping[str, Sequence[str]]) -> Column:
     """All classes with a term in the text, in order."""
-    return F.filter(F.array(*[F.when(has_any(text, terms), F.lit(name)) for name, terms in classes.items()]), lambda x: x.isNotNull())
+    return T.once(text, lambda t: F.filter(F.array(*[F.when(has_any(t, terms), F.lit(name)) for name, terms in classes.items()]), lambda x: x.isNotNull()))
 
 
 def capped(text: Column, groups: Sequence[tuple[Sequence[str], float, float]], low: float = 0.0, high: float = 1.0) -> Column:
     """Sum over groups of (terms, weight, cap): weight for each term held, at most the cap; kept within limits."""
-    total = F.lit(0.0)
-    for terms, weight, cap in groups:
-        total = total + F.least(F.lit(float(cap)), F.size(T.hits(text, terms)) * F.lit(float(weight)))
-    return F.greatest(F.lit(low), F.least(F.lit(high), total))
+
+    def total(t: Column) -> Column:
+        return sum((F.least(F.lit(float(cap)), F.size(T.hits(t, terms)) * F.lit(float(weight))) for terms, weight, cap in groups), F.lit(0.0))
+
+    return F.greatest(F.lit(low), F.least(F.lit(high), T.once(text, total)))
 
 
 def weighted_fields(fields: Mapping[str, tuple[Column, int]], classes: Mapping[str, Sequence[str]], *, accept: int, margin: int, default: str, tie: str = "given") -> Column:
@@ -53,17 +54,17 @@ def weighted_fields(fields: Mapping[str, tuple[Column, int]], classes: Mapping[s
     up ("name") or down ("name_desc").
     """
     names = list(classes) if tie == "given" else sorted(classes, reverse=tie == "name_desc")
-    scored = []
-    for rank, name in enumerate(names):
-        total = F.lit(0)
-        for text, weight in fields.values():
-            for p in classes[name]:
-                total = total + F.least(T.phrase_count(text, p), F.lit(3)) * weight
-        scored.append(F.struct((-total).cast("int").alias("minus"), F.lit(rank).alias("rank"), F.lit(name).alias("name")))
-    order = F.sort_array(F.array(*scored))
-    best, second = order[0], (-order[1]["minus"] if len(names) > 1 else F.lit(0))
-    score = -best["minus"]
-    return F.struct(F.when((score >= accept) & (score - second >= margin), best["name"]).otherwise(F.lit(default)).alias("label"), score.alias("score"), second.alias("runner_up"))
+
+    def counted(x: Column) -> Column:
+        total = lambda name: sum((F.least(T.phrase_count(x[i], p), F.lit(3)) * weight for i, (_, weight) in enumerate(fields.values()) for p in classes[name]), F.lit(0))
+        return F.sort_array(F.array(*[F.struct((-total(name)).cast("int").alias("minus"), F.lit(rank).alias("rank"), F.lit(name).alias("name")) for rank, name in enumerate(names)]))
+
+    def judged(order: Column) -> Column:
+        score, second = -order[0]["minus"], (-order[1]["minus"] if len(names) > 1 else F.lit(0))
+        label = F.when((score >= accept) & (score - second >= margin), order[0]["name"]).otherwise(F.lit(default))
+        return F.struct(label.alias("label"), score.alias("score"), second.alias("runner_up"))
+
+    return T.once(T.once(F.array(*[text for text, _ in fields.values()]), counted), judged)
 
 
 def checks(named: Mapping[str, tuple[Column, float]]) -> Column:

@@ -45,20 +45,26 @@ def keyword_score(text: Column, weights: Mapping[str, int], low: int = 0, high:
 def sector_scores(text: Column, sectors: Sequence[Mapping]) -> Column:
     """array<struct<sector, score>> by score descending, then name: strong phrases give 8 each up to 3 times, weak 2 up
     to 3 times, negative take 5 up to 2 times. text is folded already."""
-    def total(s):
+
+    def total(t: Column, s: Mapping) -> Column:
         out = F.lit(0)
         for name, weight, most in (("strong", 8, 3), ("weak", 2, 3), ("negative", -5, 2)):
             for p in s.get(name, ()):
-                out = out + F.least(T.phrase_count(text, p), F.lit(most)) * weight
+                out = out + F.least(T.phrase_count(t, p), F.lit(most)) * weight
         return out
 
-    scored = F.array(*[F.struct((-total(s)).cast("int").alias("minus"), F.lit(s["sector"]).alias("sector")) for s in sectors])
+    scored = T.once(text, lambda t: F.array(*[F.struct((-total(t, s)).cast("int").alias("minus"), F.lit(s["sector"]).alias("sector")) for s in sectors]))
     return F.transform(F.sort_array(scored), lambda x: F.struct(x["sector"].alias("sector"), (-x["minus"]).alias("score")))
 
 
 def relevance(text: Column, beneficiaries: Sequence[str], access: Sequence[str], institution_only: Sequence[str]) -> Column:
     """struct(classification, score, publishable) of folded text."""
-    b, a, n = (F.size(T.hits(text, p)) for p in (beneficiaries, access, institution_only))
-    score = F.greatest(F.lit(0), F.least(F.lit(100), F.least(F.lit(60), b * 30) + F.least(F.lit(40), a * 10) - n * 35))
-    label = cascade([((n > 0) & (b == 0), "RESEARCH_OR_INSTITUTION_ONLY"), ((b > 0) & (a > 0), "DIRECT_OR_MEDIATED_STARTUP_SUPPORT"), (b > 0, "STARTUP_ECOSYSTEM_REFERENCE")], "RELEVANCE_REVIEW_REQUIRED")
-    return F.struct(label.alias("classification"), score.alias("score"), ((score >= 70) & (label == "DIRECT_OR_MEDIATED_STARTUP_SUPPORT")).alias("publishable"))
+
+    def told(n: Column) -> Column:
+        score = F.greatest(F.lit(0), F.least(F.lit(100), F.least(F.lit(60), n["b"] * 30) + F.least(F.lit(40), n["a"] * 10) - n["n"] * 35))
+        cases = [((n["n"] > 0) & (n["b"] == 0), "RESEARCH_OR_INSTITUTION_ONLY"), ((n["b"] > 0) & (n["a"] > 0), "DIRECT_OR_MEDIATED_STARTUP_SUPPORT"), (n["b"] > 0, "STARTUP_ECOSYSTEM_REFERENCE")]
+        label = cascade(cases, "RELEVANCE_REVIEW_REQUIRED")
+        return F.struct(label.alias("classification"), score.alias("score"), ((score >= 70) & (label == "DIRECT_OR_MEDIATED_STARTUP_SUPPORT")).alias("publishable"))
+
+    counts = T.once(text, lambda t: F.struct(*[F.size(T.hits(t, phrases)).alias(x) for phrases, x in ((beneficiaries, "b"), (access, "a"), (institution_only, "n"))]))
+    return T.once(counts, told)
