@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, langid, line_rules, neardup, packing, postings, repeats, token_files, toxicity, url_rules
+from . import alignment, cotraining, langid, line_rules, neardup, packing, postings, repeats, token_files, toxicity, url_rules
 from .common import fold, table
 
 #: (host, path, verdict): fixed values.
@@ -116,3 +116,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_quality_classifier"] = op7_quality_classifier
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES["op13_token_alignment"] = op13_token_alignment
