@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, cotraining, langid, line_rules, neardup, negatives, packing, postings, repeats, token_files, toxicity, url_rules
+from . import alignment, cotraining, langid, line_rules, neardup, negatives, packing, postings, repeats, token_files, toxicity, url_rules, word_repeats
 from .common import fold, table
 
 #: (host, path, verdict): fixed values.
@@ -148,3 +148,10 @@ SELECT p.anchor_id, p.positive_id, (row_number() OVER (PARTITION BY p.anchor, p.
 FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
 QUALIFY rank <= 10
 """
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_substring_dedup"] = op12_substring_dedup

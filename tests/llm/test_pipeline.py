@@ -121,6 +121,7 @@ def test_queries_have_their_columns(spark):
         "op4_near_duplicates": {"doc_id", "n_shingles", "component_id", "kept"}, "op5_token_ids": {"doc_id", "start", "n_tokens", "ids_crc32"}, "op6_quality_rules": {"doc_id", "n_words", "base_failed", "kept"}, "op7_quality_classifier": {"doc_id", "held_out", "score"},
         "op8_packing": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}, "op9_suffix_dedup": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"}, "op10_url_filters": {"page_id", "host", "path", "rule", "verdict"},
         "op11_hard_negatives": {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"},
+        "op12_substring_dedup": {"doc_id", "n_words", "n_removed", "kept_sha256"},
         "op13_token_alignment": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
     }
     assert columns.keys() == queries.QUERIES.keys()
