@@ -1,11 +1,10 @@
 """URL filters by a sort-merge range join of canonical keys.
 
 A host's labels are reversed ("www.example.org" -> "org,example,www,"), so a rule's host and all its subdomains are the
-keys that start with the rule's key: an interval. Urls are dealt to ranges of keys that hold about as many rows each
-(boundaries from a bounded sample; equal keys are split by a salt, so a hot host fills several ranges); a rule goes to
-every range its interval meets. In a range, rules and urls are sorted by key and swept once: the stack holds the rules
-whose intervals are open, nested in each other, and a url looks through it for the longest rule whose path starts the
-url's. The longest rule is that of the most characters in host and path; of equals, the least as text.
+keys that start with the rule's key: an interval. Urls are dealt by Spark to ranges of keys that hold about as many rows
+each and sorted there; equal keys are split by a number of the row, so a hot host, and copies of one page, fill several
+ranges. In a range, rules and urls are swept once in order of key: the stack holds the rules whose intervals are open,
+nested in each other, and a url looks through it for the longest rule whose path starts the url's. The longest rule is that of the most characters in host and path; of equals, the least as text.
 
 A url that no rule fits gets the default verdict. Null urls, and those without "://", have empty host and path, which no
 rule fits. Repeated rows stay, each with its verdict; other columns are ignored.
@@ -13,9 +12,7 @@ rule fits. Repeated rows stay, each with its verdict; other columns are ignored.
 
 from __future__ import annotations
 
-import bisect
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,23 +34,29 @@ def reversed_key(host: str) -> str:
     return "".join(f"{label}," for label in reversed(host.split("."))) if host else ""
 
 
-def sweep(rules: list[tuple[str, str, str, str]], urls: list[tuple[str, str]]) -> list[int]:
-    """For each (key, path), in order of key: the place in `rules` of its rule, or -1. rules: (key, path, name, verdict)."""
-    order = sorted(range(len(rules)), key=lambda i: (rules[i][0], rules[i][1], rules[i][2]))
-    out, stack, n = [], [], 0
-    for key, path in urls:
-        while n < len(order) and rules[order[n]][0] <= key:
-            own = rules[order[n]][0]
+class Sweep:
+    """Rules met in order of key by urls in order of key; rules: (key, path, name, verdict). The stack holds the open ones."""
+
+    def __init__(self, rules: list[tuple[str, str, str, str]]):
+        self.rules, self.order = rules, sorted(range(len(rules)), key=lambda i: (rules[i][0], rules[i][1], rules[i][2]))
+        self.n, self.stack = 0, []
+
+    def of(self, key: str, path: str) -> int:
+        """The place of a url's rule, or -1. Keys do not fall from call to call."""
+        rules, order, stack = self.rules, self.order, self.stack
+        while self.n < len(order) and rules[order[self.n]][0] <= key:
+            i = order[self.n]
+            own = rules[i][0]
             while stack and not own.startswith(stack[-1][0]):
                 stack.pop()
             if not stack or stack[-1][0] != own:
                 stack.append((own, {}))
-            stack[-1][1].setdefault(rules[order[n]][1], order[n])
-            n += 1
+            stack[-1][1].setdefault(rules[i][1], i)
+            self.n += 1
         while stack and not key.startswith(stack[-1][0]):
             stack.pop()
         best = (-1, "", -1)
-        for own, paths in stack:
+        for _, paths in stack:
             # the rules of one host nest by path too: only prefixes of this path can fit
             for size in {len(p) for p in paths}:
                 i = paths.get(path[:size], -1) if size <= len(path) else -1
@@ -61,41 +64,37 @@ def sweep(rules: list[tuple[str, str, str, str]], urls: list[tuple[str, str]]) -
                     rank = (len(rules[i][2]), rules[i][2])
                     if rank[0] > best[0] or rank[0] == best[0] and rank[1] < best[1]:
                         best = (*rank, i)
-        out.append(best[2])
-    return out
+        return best[2]
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], *, key: str = "page_id", url: str = "url", default: str = "allow", sample: int = 20_000) -> DataFrame:
-    """(key, host, path, rule, verdict) of every page. rules: (host, path, verdict); a rule's name is host + path."""
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], *, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
+    """(key, host, path, rule, verdict) of every page. rules: (host, path, verdict); a rule's name is host + path.
+
+    The rules, a list of the caller, go to all tasks; a task's range takes those from its first key on.
+    """
     spark = pages.sparkSession
-    table = sorted({(reversed_key(h.lower()), p, h.lower() + p, v) for h, p, v in rules})
+    sent = spark.sparkContext.broadcast(sorted({(reversed_key(h.lower()), p, h.lower() + p, v) for h, p, v in rules}))
     cut = pages.select(F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    keyed = cut.withColumn("key", F.when(F.col("host") == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split("host", r"\.", -1)), ","), F.lit(",")))).withColumn("salt", F.xxhash64("page_id", "path").bitwiseAND(F.lit(1023)).cast("int"))
-    n, rows = partitions(spark), pages.count()
-    some = keyed.where(F.pmod(F.xxhash64("page_id", "path", F.lit(7)), F.lit(max(1, rows // sample))) == 0).select("key", "salt").sort("key", "salt").collect()
-    marks = sorted({(some[i * len(some) // n].key, some[i * len(some) // n].salt) for i in range(1, n)}) if some else []
-    sent = spark.sparkContext.broadcast((marks, _dealt(table, marks)))
-
-    @F.pandas_udf("int")
-    def span(keys: pd.Series, salts: pd.Series) -> pd.Series:
-        own = sent.value[0]
-        return pd.Series([bisect.bisect_right(own, x) for x in zip(keys, salts, strict=True)], dtype="int32")
-
-    def swept(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "salt"], kind="stable")
-        own = sent.value[1].get(int(pdf["span"].iloc[0]), [])
-        found = sweep(own, list(zip(pdf["key"], pdf["path"], strict=True)))
-        return pd.DataFrame({"page_id": pdf["page_id"], "host": pdf["host"], "path": pdf["path"], "rule": pd.Series([own[i][2] if i >= 0 else None for i in found], index=pdf.index, dtype=object), "verdict": pd.Series([own[i][3] if i >= 0 else default for i in found], index=pdf.index, dtype=object)})
+    # by the row, not by its values: copies of one page part as well
+    keyed = cut.withColumn("key", F.when(F.col("host") == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split("host", r"\.", -1)), ","), F.lit(",")))).withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = keyed.repartitionByRange(partitions(spark), "key", "salt").sortWithinPartitions("key", "salt").select("page_id", "host", "path", "key")
+
+    def swept(batches):
+        sweep, known = Sweep(sent.value), {}
+        for batch in batches:
+            rule, verdict, last = [], [], None
+            for k, path in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != last:
+                    last = k
+                    known.clear()
+                i = known.get(path)
+                if i is None:
+                    i = sweep.of(k, path)
+                    if len(known) < 1 << 16:
+                        known[path] = i
+                rule.append(sweep.rules[i][2] if i >= 0 else None)
+                verdict.append(sweep.rules[i][3] if i >= 0 else default)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
     kind = dict(cut.dtypes)["page_id"]
-    return keyed.withColumn("span", span("key", "salt")).groupBy("span").applyInPandas(swept, f"page_id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("page_id", key)
-
-
-def _dealt(table: list[tuple[str, str, str, str]], marks: list[tuple[str, int]]) -> dict[int, list]:
-    """By range: the rules whose intervals meet it."""
-    out: dict[int, list] = {}
-    for rule in table:
-        first, last = bisect.bisect_right(marks, (rule[0], -1)), bisect.bisect_right(marks, (rule[0] + "\U0010ffff", 1 << 20))
-        for i in range(first, last + 1):
-            out.setdefault(i, []).append(rule)
-    return out
+    return dealt.mapInArrow(swept, f"page_id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("page_id", key)
