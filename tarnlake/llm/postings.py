@@ -48,8 +48,8 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(out)]) + int.from_bytes(raw[1:9], "little")
 
 
-def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", terms: frozenset[bytes] | None = None, shard_words: int = 2_000_000) -> DataFrame:
-    """One row a shard. With terms, only their postings are kept; the others are those no test item can ask for."""
+def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", terms: frozenset[bytes] | None = None, shard_words: int = 2_000_000, shard_docs: int = 1 << 17) -> DataFrame:
+    """One row a shard, closed when it has as many words or documents. With terms, only their postings are kept; the others are those no test item can ask for."""
     spark = docs.sparkSession
     wanted = None if terms is None else spark.sparkContext.broadcast({t: i for i, t in enumerate(sorted(terms))})
 
@@ -83,7 +83,7 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ter
                     own = np.flatnonzero(of >= 0)
                     keys.append(k), sizes.append(len(ws)), ids.append(of[own]), at.append(own)
                     held += len(ws)
-                    if held >= shard_words:
+                    if held >= shard_words or len(keys) >= shard_docs:
                         yield shard(f"{part}-{n}", keys, sizes, names, ids, at)
                         keys, sizes, ids, at, held, n = [], [], [], [], 0, n + 1
         if keys:
@@ -127,6 +127,9 @@ def phrase_matches(index: DataFrame, phrases: list[tuple[tuple[bytes, ...], list
 
     def found(block):
         def run(batches):
+            by_rarest: dict[bytes, list] = {}
+            for plan in block.value:
+                by_rarest.setdefault(plan[0][0][0], []).append(plan)
             for batch in batches:
                 for row in batch.to_pylist():
                     raw, lists = dict(zip(row["terms"], row["postings"], strict=True)), {}
@@ -137,7 +140,7 @@ def phrase_matches(index: DataFrame, phrases: list[tuple[tuple[bytes, ...], list
                         return lists[term]
 
                     starts, hits = np.array(row["starts"], np.int64), []
-                    for terms, n, items in block.value:
+                    for terms, n, items in (plan for term in raw for plan in by_rarest.get(term, ())):
                         at = None
                         for term, offset in terms:
                             own = of(term)
