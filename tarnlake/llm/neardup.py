@@ -16,7 +16,7 @@ the upper 32 bits of a shingle's hash by 256 linear hashes; with base 1.001 a re
 registers of two sets agree about as often as their minima do.
 
 Words are what white space parts, A-Z lower-cased. Fewer words than a shingle make one shingle of all; null and empty texts
-have none and are linked with nothing. Rows of one id share their fate. Rows without an id are kept and not linked. Shingles
+have none and are linked with nothing. Rows of one id are one: what is linked with one of them is linked with all. Rows without an id are kept and not linked. Shingles
 are compared by 64-bit hashes.
 """
 
@@ -165,8 +165,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         for batch in batches:
             keep = []
             for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if a != last:
-                    last, own = a, shingles(ta, size)
+                if (a, ta) != last:
+                    last, own = (a, ta), shingles(ta, size)
                 other = shingles(tb, size)
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= percent * (len(own) + len(other) - both))
@@ -237,6 +237,14 @@ def _across(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _of_one_id(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes that rows of one id stand in, each with the least of them."""
+    rows = sketches.where(F.col("sig").isNotNull() & F.col("id").isNotNull()).select("id", "sig")
+    several = rows.groupBy("id").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("id")
+    of = store(rows.join(several, "id").distinct().join(classes.select("sig", F.col("id").alias("b")), "sig").select("id", "b").distinct(), "ids")
+    return of.join(of.groupBy("id").agg(F.min("b").alias("a")), "id").where("a <> b").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, margin: float = 0.2, rounds: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row; kept: the least id of its component."""
     sketches = store(sketch(docs, size, key=key, text=text), "sketches")
@@ -246,12 +254,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, margin
     fits = 100 * F.least("n", "nl") >= percent * F.greatest("n", "nl")
     leaders = dealt.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("x"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", F.col("x.id").alias("leader"), F.col("x.n").alias("nl"))
     shared = store(dealt.join(leaders, "bucket"), "buckets")
-    # whole texts are needed of what may be linked alone; they are dealt out once for all comparisons
+    # whole texts are needed of what may be linked alone; they are dealt out once for all comparisons; an id may have several
     wanted = shared.select("id").distinct()
-    texts = store(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = store(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return store(_verified(store(_likely(pairs, classes, percent / 100 - margin), "pairs"), texts, size, percent), "near-links")
+        return store(_verified(store(_likely(pairs, classes, percent / 100 - margin).distinct(), "pairs"), texts, size, percent), "near-links")
 
     # a class meets many leaders; it is compared with one of each component, the one it shares most buckets with, and only
     # where that fails, and the components still differ, with the next and at last with all others
@@ -282,7 +290,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, margin
     rest = store(labelled.join(open_, "bucket").select("id", "component").distinct(), "open-classes")
     # the filter is exact and leaves few pairs: all are compared on their full sets, whatever their estimate
     later = store(_verified(store(_across(rest.join(texts, "id"), size, percent), "pairs"), texts, size, percent), "near-links")
-    known = components(links.unionByName(later)) if not later.isEmpty() else first
+    more = later.unionByName(_of_one_id(sketches, classes))
+    known = first if more.isEmpty() else components(links.unionByName(more))
     of_class = classes.select("sig", F.col("id").alias("class_id")).join(known.withColumnRenamed("id", "class_id"), "class_id", "left").select("sig", F.coalesce("component", "class_id").alias("component"))
     own = sketches.select("id", "n", "sig").join(of_class, "sig", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return own.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
