@@ -43,7 +43,7 @@ def _children(text: Column, kind: Column, path: Column, levels: int) -> Column:
     return F.flatten(F.transform(made, lambda c: F.concat(F.array(c), _children(c["text"], c["kind"], c["path"], levels - 1))))
 
 
-def nodes(rows: DataFrame, key: str, json: str, levels: int = 10) -> DataFrame:
+def nodes(rows: DataFrame, key: str, json: str, levels: int = 5) -> DataFrame:
     """(key, path, name, text, kind) of every node; the root has an empty path. Paths in order are the order of reading.
 
     path: places among brothers, from the root; name: the key, null in arrays; text: of containers JSON, of strings themselves.
