@@ -115,7 +115,7 @@ def contact(kind: Column, value: Column, evidence: Column) -> Column:
     mail = F.when(cut, F.concat(v, F.lit(".in"))).otherwise(v)
     digits = F.regexp_replace(v, r"\D", "")
     phone = F.when(digits.startswith("91") & (F.length(digits) == 12), F.concat(F.lit("+91-"), F.substring(digits, 3, 10))).otherwise(digits)
-    dated = v.rlike(r"\b20\d{2}\b") | v.rlike(r"\d{1,2}-\d{1,2}-20\d{2}")
+    dated = v.rlike(r"\b20\d\d\b|\d-\d\d?-20\d\d")  # a year of this century by itself, or a whole day
     return F.when((k == "email") & mail.rlike(MAIL), mail).when((k == "phone") & ~dated & F.length(digits).between(10, 12), phone)
 
 
