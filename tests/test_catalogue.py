@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 from tarnlake.functions.text import IGNORED_TOKENS
-from tarnlake.plans import catalogue, catalogue_load, evidence, governance, json_trees, records, registry, validation
+from tarnlake.plans import catalogue, catalogue_load, evidence, governance, json_trees, phrases, records, registry, validation
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -68,7 +68,7 @@ def test_manifest_is_stable(spark):
 
 
 def test_catalogue_is_registered():
-    assert catalogue and catalogue_load and json_trees and evidence and governance and records and validation and len(registry.QUERIES) > 50
+    assert catalogue and catalogue_load and json_trees and phrases and evidence and governance and records and validation and len(registry.QUERIES) > 50
 
 
 def test_document_tokens_are_of_all_lines(spark):
