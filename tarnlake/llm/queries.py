@@ -155,3 +155,14 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op12_substring_dedup"] = op12_substring_dedup
+
+SQL["op12_substring_dedup"] = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS MATERIALIZED (SELECT r, doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS x FROM d, unnest(range(1, len(w) - 18)) AS t(i)),
+f AS (SELECT x, min(doc_id) AS first FROM p GROUP BY x),
+o AS (SELECT x, r, min(i) AS own FROM p GROUP BY x, r),
+hit AS MATERIALIZED (SELECT DISTINCT r, unnest(range(i, i + 20)) AS j FROM p JOIN f USING (x) JOIN o USING (x, r) WHERE doc_id > first OR i > own),
+n AS (SELECT r, count(*) AS n FROM hit GROUP BY r),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS s FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d) ANTI JOIN hit USING (r, j) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.s, '')) AS kept_sha256 FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)
+"""
