@@ -352,7 +352,12 @@ def year_pivot(t):
     return metrics.pivot_counts(_assessed(t), "closing_year", "archive_state", archive.STATES)
 
 
-@query()
+@query(f"""WITH a AS MATERIALIZED ({_ASSESS_SQL}), g AS (SELECT * FROM a WHERE archive_state IN ('AUTO_QUALIFIED', 'QUALIFIED_WITH_WARNINGS')),
+  s AS (SELECT o_orderkey::VARCHAR AS k FROM g QUALIFY row_number() OVER (PARTITION BY closing_year ORDER BY sha256(o_orderkey::VARCHAR), o_orderkey) <= 3),
+  c AS (SELECT '{{' || string_agg('"' || archive_state || '":' || n, ',' ORDER BY archive_state) || '}}' AS states FROM (SELECT archive_state, count(*) AS n FROM a GROUP BY 1)),
+  y AS (SELECT '{{' || coalesce(string_agg('"' || y || '":' || n, ',' ORDER BY y), '') || '}}' AS years FROM (SELECT closing_year::VARCHAR AS y, count(*) AS n FROM g GROUP BY 1)),
+  i AS (SELECT '[' || coalesce(string_agg('"' || k || '"', ',' ORDER BY k), '') || ']' AS ids, count(*) AS n FROM s), t AS (SELECT count(*) AS total FROM a)
+  SELECT total, states AS state_counts, years AS year_counts, i.n::INTEGER AS sample_size, sha256('{{"sample_ids":' || ids || ',"state_counts":' || states || ',"total":' || total || ',"year_counts":' || years || '}}') AS signature FROM c, y, i, t""")
 def manifest_signature(t):
     own = _assessed(t)
     sample = dedupe.stratified_sample(own.where("archive_state like '%QUALIFIED%'"), "o_orderkey", ["closing_year"], 3)
