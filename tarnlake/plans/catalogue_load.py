@@ -43,7 +43,7 @@ _RECORDS = f"""WITH p AS (SELECT *, p_partkey AS k, {_NAMED} AS named, p_partkey
     CASE WHEN reviewed THEN 'DST' WHEN NOT added AND paid = 1 THEN 'M' || p_size ELSE '' END AS ministry,
     CASE WHEN NOT added AND paid = 1 THEN 'D ' || p_brand ELSE '' END AS department,
     CASE WHEN NOT added AND paid = 1 THEN '2024-01-0' || (k % 9 + 1) ELSE '' END AS closing_date,
-    CASE WHEN NOT added AND staged THEN trunc(p_retailprice)::BIGINT END AS funding_maximum,
+    CASE WHEN NOT added AND staged THEN trunc(p_retailprice)::BIGINT::VARCHAR ELSE '' END AS funding_maximum,
     CASE WHEN NOT added AND paid = 1 THEN p_name || '/' || p_type ELSE '' END AS objectives,
     coalesce(a.eligibility, '') AS eligibility, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN 'desk: ' || s_name ELSE s_name END, '') AS contacts, CASE WHEN reviewed THEN 'check' ELSE '' END AS warnings,
     CASE WHEN added THEN '' WHEN k % 6 = 0 THEN 'CLOSED' WHEN k % 7 = 0 THEN 'STATUS_UNVERIFIED' ELSE '' END AS application_status,
@@ -56,4 +56,4 @@ _RECORDS = f"""WITH p AS (SELECT *, p_partkey AS k, {_NAMED} AS named, p_partkey
 def catalogue_records(t):
     lists = ("objectives", "eligibility", "contacts", "warnings")
     own = wide_record.load(_sources(t))
-    return own.select("master_id", "scheme_name", "source", "ministry", "department", "closing_date", "funding_maximum", *(F.array_join(c, "/").alias(c) for c in lists), "application_status", "current_decision", F.col("is_public").cast("int").alias("is_public"), "official_page_url")
+    return own.select("master_id", "scheme_name", "source", "ministry", "department", "closing_date", F.coalesce(F.col("funding_maximum").cast("string"), F.lit("")).alias("funding_maximum"), *(F.array_join(c, "/").alias(c) for c in lists), "application_status", "current_decision", F.col("is_public").cast("int").alias("is_public"), "official_page_url")
