@@ -94,6 +94,8 @@ def _pieces(html: Column, main: Sequence[str]) -> Column:
 
 _STATE = "struct<stack:array<string>,at:int,removed:int,block:int,block_at:int,heading:int,heading_at:int,anchor:int,main:array<int>,frame:array<int>,seen:array<int>>"
 
+_FIELDS = [f.split(":")[0] for f in _STATE[len("struct<") : -1].split(",")]
+
 
 def _texts(html: Column, main: Sequence[str]) -> Column:
     """array<struct>: each text of a page with the elements that it stands in."""
@@ -109,7 +111,9 @@ def _texts(html: Column, main: Sequence[str]) -> Column:
         moved = once(F.struct(s.alias("s"), stack.alias("stack"), F.size(stack).alias("d"), p.alias("p")), enter)
         emit = F.struct(s["at"], p["text"], s["block_at"], s["block"], s["heading_at"], s["anchor"] > 0, s["main"], s["frame"]).cast(text_type)
         out = F.when((p["kind"] == "text") & (s["removed"] == 0) & (F.trim(F.regexp_replace(p["text"], r"\s+", " ")) != ""), F.array_append(acc["out"], emit)).otherwise(acc["out"])
-        return F.struct(moved.alias("s"), out.alias("out"))
+        # texts, comments and void tags open and close nothing
+        tag = p["kind"].isin("start", "end")
+        return F.struct(F.when(tag, moved).otherwise(F.struct(*[(s[f] + 1 if f == "at" else s[f]).alias(f) for f in _FIELDS])).alias("s"), out.alias("out"))
 
     def enter(m: Column) -> Column:
         s, p, d, started = m["s"], m["p"], m["d"], m["p"]["kind"] == "start"
