@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 from tarnlake.functions.text import IGNORED_TOKENS
-from tarnlake.plans import catalogue, catalogue_load, evidence, governance, json_trees, pages, phrases, records, registry, text_parts, validation
+from tarnlake.plans import catalogue, catalogue_load, evidence, governance, json_trees, lineage, pages, phrases, records, registry, text_parts, validation
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
