@@ -26,7 +26,7 @@ VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 MAIN = ["main", "article", "[role=main]", "#main-content", "#content", ".main-content", ".content", ".page-content", ".field--name-body"]
 
 PIECES = r"(?is)(<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|</?[a-z!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<)"
-_ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "ndash": "–", "mdash": "—", "amp": "&"}
+_ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "ndash": "–", "mdash": "—", "middot": "·", "copy": "©", "amp": "&"}
 
 
 def unescaped(text: Column) -> Column:

@@ -23,7 +23,10 @@ def _is(s: str) -> str:
 
 
 _N = len(H.MAIN)
-_PLAIN = r"trim(regexp_replace(replace({0}, '&amp;', '&'), '\s+', ' ', 'g'))"
+_UNESCAPED = "{0}"
+for _name, _char in H._ENTITIES.items():
+    _UNESCAPED = f"replace({_UNESCAPED}, '&{_name};', chr({ord(_char)}))"
+_PLAIN = rf"trim(regexp_replace({_UNESCAPED}, '[\s\x{{{{00a0}}}}]+', ' ', 'g'))"
 _KEPT = "CASE WHEN {0} > d THEN 0 ELSE {0} END"
 
 
