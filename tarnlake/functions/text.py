@@ -22,8 +22,8 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def norm(c: Column) -> Column:
-    """Every run of Unicode white space is one space, none at the ends; null is empty."""
-    return F.coalesce(F.trim(F.regexp_replace(c.cast("string"), r"(?U)\s+", " ")), F.lit(""))
+    """Every run of Unicode white space is one space, none at the ends; null is empty. Single spaces, which are most, are not matched."""
+    return F.coalesce(F.trim(F.regexp_replace(c.cast("string"), r"(?U)[^\S ]\s*| \s+", " ")), F.lit(""))
 
 
 def low(c: Column) -> Column:
