@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money
+from ..storage import store
 
 
 def counter(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -38,11 +39,31 @@ def explicit_count(c: Column) -> Column:
 
 
 def funding_summary(df: DataFrame, values: Column) -> DataFrame:
-    """One row: rows with and without amounts, least and most amount, median of all amounts."""
+    """One row: rows with and without amounts, least and most amount, exact median of all amounts."""
     own = df.select(F.filter(values, lambda v: v.isNotNull()).alias("v"))
-    sizes = own.agg(F.count_if(F.size("v") > 0).alias("records_with_funding"), F.count_if(F.size("v") == 0).alias("records_missing_funding"))
-    each = own.select(F.explode("v").alias("x")).agg(F.min("x").alias("minimum_recorded_funding"), F.max("x").alias("maximum_recorded_funding"), F.median("x").alias("median_recorded_funding"))
-    return sizes.crossJoin(each)  # one row each
+    sizes = own.agg(
+        F.count_if(F.size("v") > 0).alias("records_with_funding"), F.count_if(F.size("v") == 0).alias("records_missing_funding"),
+        F.min(F.array_min("v")).alias("minimum_recorded_funding"), F.max(F.array_max("v")).alias("maximum_recorded_funding"),
+    )
+    return sizes.crossJoin(exact_median(own.select(F.explode("v").alias("x")), "x").select(F.col("median").alias("median_recorded_funding")))  # one row each
+
+
+def exact_median(df: DataFrame, value: str) -> DataFrame:
+    """(median): one row, null without values. No task holds more than its range of the distinct values.
+
+    Values are counted and dealt out by ranges; the sums of the ranges tell which one or two hold the middle ranks, and only
+    these are put in order.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = store(counts.repartitionByRange("x").withColumn("range", F.spark_partition_id()), "amounts")
+    sums = dealt.groupBy("range").agg(F.min("x").alias("low"), F.sum("n").alias("own"))  # a row a range
+    upto, total = F.sum("own").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, 0)), F.sum("own").over(Window.partitionBy())
+    placed = sums.select("range", (upto - F.col("own")).alias("before"), upto.alias("upto"), F.floor((total - 1) / 2).alias("lower"), F.floor(total / 2).alias("upper"))
+    middle = dealt.join(F.broadcast(placed.where("upto > lower AND before <= upper")), "range")
+    ranked = middle.withColumn("last", F.col("before") + F.sum("n").over(Window.partitionBy("range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda rank: F.min(F.when(F.col("last") > F.col(rank), F.col("x"))).cast("double")
+    two = ranked.agg(at("lower").alias("a"), at("upper").alias("b"))
+    return two.select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(0.5 * F.col("a") + 0.5 * F.col("b")).alias("median"))
 
 
 def funding_buckets(df: DataFrame, amount: Column) -> DataFrame:
