@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BinaryType, DoubleType
 
 from ..functions import text as T
+from ..storage import store
 
 #: Last path segments that name a directory, not a programme.
 DIRECTORY_TAILS = ("scheme", "schemes", "programme", "programmes", "schemes-programmes", "funding", "program", "programs")
+#: Counters of tokens. Tokens that share one only stand later in their order than they might.
+_SLOTS = 1 << 18
 
 
 def union_match(left: DataFrame, right: DataFrame, keys: Sequence[tuple[Column, Column]], left_id: str, right_id: str) -> DataFrame:
@@ -40,29 +45,68 @@ def key_classes(df: DataFrame, keys: dict[str, Sequence[str]], ident: str) -> Da
     return out
 
 
-def similar_sets(left: DataFrame, left_id: str, left_set: str, right: DataFrame, right_id: str, right_set: str, *, least: float) -> DataFrame:
-    """(left_id, right_id, similarity): the best Jaccard similarity of the token arrays of two ids, where it is `least` or more.
+def _slot(token: Column) -> Column:
+    return F.xxhash64(token).bitwiseAND(F.lit(_SLOTS - 1)).cast("int")
+
 
-    Arrays hold distinct tokens; empty ones meet nothing. Equal arrays are compared once. Tokens are put in one order,
-    long words first as the rare ones; sets as near as `least` share one within the first n - ceil(least * n) + 1 of each, and
-    where it stands bounds their overlap. Only ids and places go through the join; survivors are compared on their full sets.
+def _levels(sets: DataFrame, tokens: str, least: float) -> Callable[[Column], Column]:
+    """From the slots of a row's tokens to a byte each: 0 if no set holds a token of the slot, else higher where more do, by eighths of a power of two.
+
+    Null where fewer than `least` of the row's tokens, or none, are held.
     """
+    counts = sets.select(F.explode(tokens).alias("w")).groupBy(_slot(F.col("w")).alias("slot")).agg(F.floor(8 * F.log2(F.count(F.lit(1)))).alias("level")).toArrow()
+    table = np.zeros(_SLOTS, np.uint8)
+    table[counts.column("slot").to_numpy()] = np.minimum(counts.column("level").to_numpy() + 1, 255)
+    sent = sets.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf(BinaryType())
+    def level(slots: pa.Array) -> pa.Array:
+        ends = slots.offsets.to_numpy()
+        found = sent.value[slots.values.to_numpy()[ends[0] : ends[-1]]]
+        ends = ends - ends[0]
+        held = np.diff(np.concatenate([[0], np.cumsum(found > 0)])[ends])
+        kept = (held > 0) & (held >= np.ceil(np.diff(ends) * least - 1e-9))
+        return pa.Array.from_buffers(pa.binary(), len(slots), [pa.py_buffer(np.packbits(kept, bitorder="little")), pa.py_buffer(ends), pa.py_buffer(found)])
 
-    def held(df: DataFrame, ident: str, tokens: str, s: str) -> tuple[DataFrame, DataFrame]:
-        rows = df.select(F.col(ident).alias(s + "_id"), F.col(tokens).alias("set")).where(F.size("set") > 0).withColumn(s + "_key", F.sha2(F.array_join("set", "\x1f"), 256)).dropDuplicates([s + "_id", s + "_key"])
-        return rows.select(s + "_id", s + "_key"), rows.select(s + "_key", F.col("set").alias(s + "_set")).dropDuplicates([s + "_key"])
+    return level
 
-    def marks(sets: DataFrame, s: str) -> DataFrame:
-        n = F.size(s + "_set")
-        order = F.transform(F.sort_array(F.transform(s + "_set", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
-        return sets.select(s + "_key", n.alias(s + "_n"), F.posexplode(F.slice(order, 1, n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1)).alias(s + "_at", "token"))
 
-    (l_ids, l_sets), (r_ids, r_sets) = held(left, left_id, left_set, "l"), held(right, right_id, right_set, "r")
+def similar_sets(left: DataFrame, left_id: str, left_set: str, right: DataFrame, right_id: str, right_set: str, *, least: float) -> DataFrame:
+    """(left_id, right_id, similarity): the best Jaccard similarity of the token arrays of two ids, where it is `least` or more.
+
+    Arrays hold distinct tokens; empty ones meet nothing. Equal arrays are compared once. Tokens are put in one order, by how
+    often the left sets hold them (levels in a table of `_SLOTS` bytes) and then by themselves: what they lack comes first. Sets
+    as near as `least` share a token within the first n - ceil(least * n) + 1 of each, and where it stands bounds their overlap.
+    So the right arrays are worked out once, those whose first tokens are all unknown on the left end in the task that read
+    them, and only keys and places of the others go through the join; survivors are compared on their full sets.
+    """
+    level = _levels(left, left_set, least)
+
+    def marked(df: DataFrame, ident: str, tokens: str, s: str) -> DataFrame:
+        """(id, key, set, n, first, marks) of sets with a first token that the left may hold; marks are these, from place `first` on."""
+        read = df.select(F.col(ident).alias("id"), F.col(tokens).alias("set"), level(F.coalesce(F.transform(tokens, _slot), F.array().cast("array<int>"))).alias("levels"))
+        known = F.filter(F.transform("set", lambda w, i: F.struct(F.substring("levels", i + 1, 1).alias("level"), w.alias("w"))), lambda x: x["level"] > F.lit(bytes(1)))
+        # not filtered as a table: that would be pushed below and work the arrays out a second time
+        rows = read.select("id", "set", F.explode(F.when(F.col("levels").isNotNull(), F.array(F.sort_array(known)))).alias("known"))
+        n, h = F.size("set"), F.size("known")
+        marks = F.transform(F.slice("known", 1, h - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1), lambda x: x["w"])
+        out = rows.select("id", F.sha2(F.array_join("set", "\x1f"), 256).alias("key"), "set", n.alias("n"), (n - h).alias("first"), marks.alias("marks"))
+        return store(out.toDF(*[f"{s}_{c}" for c in out.columns]), "sets-marked")
+
+    def places(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select(s + "_key", s + "_n", s + "_first", F.posexplode(s + "_marks").alias("at", "token")).select("token", s + "_key", s + "_n", (F.col(s + "_first") + F.col("at")).alias(s + "_at"))
+
+    l, r = marked(left, left_id, left_set, "l"), marked(right, right_id, right_set, "r")
     n, m = F.col("l_n"), F.col("r_n")
     near = (F.least(n, m) >= least * F.greatest(n, m) - 1e-9) & (F.least(n - F.col("l_at"), m - F.col("r_at")) >= (n + m) * (least / (1 + least)) - 1e-9)
-    pairs = marks(l_sets, "l").join(marks(r_sets, "r"), "token").where(near).select("l_key", "r_key").distinct()
-    scored = pairs.join(l_sets, "l_key").join(r_sets, "r_key").select("l_key", "r_key", T.similarity(F.col("l_set"), F.col("r_set")).alias("similarity")).where(F.col("similarity") >= least)
-    return scored.join(l_ids, "l_key").join(r_ids, "r_key").groupBy(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id)).agg(F.max("similarity").alias("similarity"))
+    pairs = store(places(l, "l").distinct().join(places(r, "r"), "token").where(near).select("l_key", "r_key").distinct(), "sets-pairs")
+
+    def sets(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select(s + "_key", s + "_set").join(pairs.select(s + "_key"), s + "_key", "left_semi").dropDuplicates([s + "_key"])
+
+    scored = pairs.join(sets(l, "l"), "l_key").join(sets(r, "r"), "r_key").select("l_key", "r_key", T.similarity(F.col("l_set"), F.col("r_set")).alias("similarity")).where(F.col("similarity") >= least)
+    met = scored.join(l.select("l_id", "l_key"), "l_key").join(r.select("r_id", "r_key"), "r_key")
+    return met.groupBy(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id)).agg(F.max("similarity").alias("similarity"))
 
 
 def token_key(c: Column) -> Column:
