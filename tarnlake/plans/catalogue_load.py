@@ -11,7 +11,7 @@ from .registry import query
 
 def _sources(t) -> dict[str, DataFrame]:
     k, none = F.col("p_partkey"), F.lit(None).cast("string")
-    own = t("part").withColumn("master_id", F.concat(F.lit("P"), k)).withColumn("row", k).withColumn("named", F.concat_ws(" ", "p_name", F.floor(k / 40)))
+    own = t("part").withColumn("master_id", F.concat(F.lit("P"), k)).withColumn("row", k).withColumn("named", F.concat_ws(" ", "p_name", F.expr("p_partkey div 40")))
     json = F.concat(
         F.lit('{"ministry":"M'), F.col("p_size"), F.lit('","department":" none ","nest":[{"x":1},{"department":"D '), F.col("p_brand"), F.lit('"}],"objectives":["'), F.col("p_name"), F.lit('","'),
         F.upper("p_name"), F.lit('",{"name":"'), F.col("p_type"), F.lit('"}],"record":{"deadline":"2024-01-0'), k % 9 + 1, F.lit('","ministry":"lost"}}'),
